@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import canonical, encoding
+from gleanery.llm import canonical, copies, encoding, mixing, pieces, ranking, repetition
 from gleanery.session import table
 
 
@@ -24,6 +24,47 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_ids(table(spark, d, "documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies(table(spark, d, "chunks")).toDF("chunk_id_a", "chunk_id_b")
+
+
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    return copies.collapsed(table(spark, d, "chunks"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    cut = pieces.pieces(_records(spark, d))
+    return cut.where("n_chars > 1200 AND piece_no = 1").select("rec_kind", "rec_id")
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(_records(spark, d))
+
+
+def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.median_ranking(table(spark, d, "ranked_chunks"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetitive(table(spark, d, "documents"))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.measured(table(spark, d, "documents"))
+
+
+def p10_bands(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.script_bands(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    named = [p3_found, p3_canonical, p8_ids]
+    named = [p2_found, p2_records, p3_found, p3_canonical, p6_found, p6_pieces, p7_ranking, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_bands]
     return {f.__name__: f for f in named}
