@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanery.llm import canonical, copies, encoding, mixing, pieces, ranking, repetition
+from gleanery.llm import canonical, copies, encoding, mixing, packing, pieces, ranking, repetition
 from gleanery.session import table
 
 
@@ -24,6 +25,20 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_ids(table(spark, d, "documents"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    placed = packing.packed(table(spark, d, "table_rows"))
+    return placed.where("n_chars > 1200").groupBy("row_id").agg(F.first("n_chars")).select("row_id")
+
+
+def p1_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "table_rows"))
+
+
+def p1_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "table_rows")
+    return packing.chunk_texts(rows, packing.packed(rows))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "chunks")).toDF("chunk_id_a", "chunk_id_b")
 
@@ -66,5 +81,5 @@ def p10_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [p2_found, p2_records, p3_found, p3_canonical, p6_found, p6_pieces, p7_ranking, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_bands]
+    named = [p1_found, p1_packed, p1_chunks, p2_found, p2_records, p3_found, p3_canonical, p6_found, p6_pieces, p7_ranking, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_bands]
     return {f.__name__: f for f in named}
