@@ -22,7 +22,7 @@ from gleanery.storage import shared_table
 
 CAPACITY = 1200
 #: Most rows of a block on average, islands per block, members of a population, generations between migrations, migrations.
-BLOCK, ISLANDS, MEMBERS, GENERATIONS, EPOCHS = 2048, 3, 8, 10, 2
+BLOCK, ISLANDS, MEMBERS, GENERATIONS, EPOCHS = 512, 3, 8, 10, 2
 #: Bins of a table of several blocks that are filled less than this are packed again, so many times.
 FULL, LEVELS = 0.97, 2
 KEYS = ["file_name", "table_id"]
@@ -83,14 +83,20 @@ def inject(a: list[list[int]], b: list[list[int]], sizes: list[int], cap: int, r
 
 def _exchange(bins: list[list[int]], loose: list[int], sizes: list[int], cap: int) -> list[int]:
     """Swap a loose row for one or two smaller rows of a bin where that fills the bin better; returns what is loose then."""
-    loose = sorted(loose, key=lambda i: -sizes[i])[:64] + sorted(loose, key=lambda i: -sizes[i])[64:]
+    free = [cap - sum(sizes[j] for j in b) for b in bins]
+    open_ = [k for k, f in enumerate(free) if f]
     out = []
-    for i in loose:
-        for b in bins[:128] if len(bins) > 128 else bins:
-            free = cap - sum(sizes[j] for j in b)
-            swap = max((j for j in b if sizes[j] < sizes[i] <= sizes[j] + free), key=lambda j: sizes[j], default=None)
-            if swap is not None and free:
+    for i in sorted(loose, key=lambda i: -sizes[i]):
+        n = sizes[i]
+        for k in open_:
+            low = n - free[k]
+            swap = max((j for j in bins[k] if low <= sizes[j] < n), key=lambda j: sizes[j], default=None)
+            if swap is not None:
+                b = bins[k]
                 b[b.index(swap)] = i
+                free[k] -= n - sizes[swap]
+                if not free[k]:
+                    open_.remove(k)
                 out.append(swap)
                 break
         else:
@@ -245,8 +251,10 @@ def _islands(hard: DataFrame, capacity: int, epochs: int) -> DataFrame:
 
     schema = _STATE.replace("bins array<int>", "island int, elites array<array<int>>")
     state = hard.withColumn("elites", F.array("bins")).drop("bins").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    spark = hard.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # few bytes, much work: not to be coalesced
     for epoch in range(epochs):
-        state = state.repartition(*KEYS, "block", "island").mapInPandas(step(epoch), schema)
+        state = state.repartition(tasks, *KEYS, "block", "island").mapInPandas(step(epoch), schema)
         if epoch < epochs - 1:  # each island sends its best to the next one
             state = shared_table(state)
             sent = state.select(*KEYS, "block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("elites", 1, 1).alias("came"))
