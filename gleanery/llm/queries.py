@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import canonical, copies, encoding, mixing, packing, pairs, pieces, ranking, repetition
+from gleanery.llm import canonical, copies, encoding, mixing, packing, pairs, pieces, ranking, repetition, scans
 from gleanery.session import table
 
 
@@ -51,6 +51,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "eval_rows"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_records(spark, d)).where("scanned").select("rec_kind", "rec_id")
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_records(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     cut = pieces.pieces(_records(spark, d))
     return cut.where("n_chars > 1200 AND piece_no = 1").select("rec_kind", "rec_id")
@@ -85,5 +93,5 @@ def p10_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [p1_found, p1_packed, p1_chunks, p2_found, p2_records, p3_found, p3_canonical, p4_found, p6_found, p6_pieces, p7_ranking, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_bands]
+    named = [p1_found, p1_packed, p1_chunks, p2_found, p2_records, p3_found, p3_canonical, p4_found, p5_found, p5_repaired, p6_found, p6_pieces, p7_ranking, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_bands]
     return {f.__name__: f for f in named}

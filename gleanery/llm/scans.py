@@ -26,14 +26,16 @@ KNOWN, RATIO = 5, 25
 FUZZY = 0.72
 
 # What is read for what, in Hangul and in Latin script.
-HANGUL_READ = dict(zip("디핟게무온울률외가오르판지괴시줄섬", "다한계부은을를의기으로관자과사출성", strict=True))
+HANGUL_READ = dict(zip("디핟게무온논울률외가오르판지괴시줄섬", "다한계부은는을를의기으로관자과사출성", strict=True))
 LATIN_READ = [("c", "e"), ("f", "t"), ("q", "g"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("li", "h"), ("vv", "w"), ("0", "o"), ("1", "l"), ("5", "s"), ("6", "b"), ("6", "é"), ("@", "a"), ("!", "i"), ("|", "l")]
 SIGN_READ = [("0|", "이"), ("@", "a"), ("!", "i"), ("|", "l")]
 DIGIT_READ = str.maketrans("OolISB", "001158")
 STRAY = "`^~|;'·"
 
+_SOFT = re.compile("­(?![ \\t]*\\n)")  # a soft hyphen that ends no line
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"([^\W\d_]+)([-‐‑¬­])[ \t]*$")
+_HYPHENS, _CLOSED, _LAST = "-‐‑¬­", ".!?,:;)]}", re.compile(r"[^\W_]+$")
 _PAGE = [  # (name, pattern, whether one line of it is enough)
     ("dashes", re.compile(r"[-—–]\s*(\d{1,4})\s*[-—–]"), True),
     ("angles", re.compile(r"[〈<《]\s*(\d{1,4})\s*[〉>》]"), True),
@@ -114,7 +116,12 @@ def running_lines(lines: list[str], numbers: set[int]) -> set[int]:
         for k in range(place[i] - 2, place[i] + 3):
             if 0 <= k < len(filled):
                 near.add(filled[k])
-    fit = [i for i in filled if i not in numbers and 3 <= len(lines[i].strip("\f \t\r")) <= 90 and len(_plain(lines[i])) >= 2 and not re.search(r"(?:다|요)\.\s*$", lines[i])]
+    fit = [i for i in filled if i not in numbers and 3 <= len(lines[i].strip("\f \t\r")) <= 90 and len(_plain(lines[i])) >= 2 and not lines[i].rstrip().endswith(("다.", "요."))]
+    # worth comparing: lines at page edges, and lines that share their first or last letters with another one
+    bare = {i: lines[i].strip("\f \t\r") for i in fit}
+    heads, tails = Counter(x[:6] for x in bare.values()), Counter(x[-6:] for x in bare.values())
+    top = lines[filled[0]] + "\n" + (lines[filled[1]] if len(filled) > 1 else "") if filled else ""
+    fit = [i for i in fit if i in near or heads[bare[i][:6]] > 1 or tails[bare[i][-6:]] > 1 or bare[i][:6] in top or bare[i][-6:] in top or bare[i].startswith("==")]
     groups: list[list[int]] = []
     keys: list[str] = []
     grams: dict[str, int] = {}  # six characters -> the first group that has them
@@ -137,8 +144,9 @@ def running_lines(lines: list[str], numbers: set[int]) -> set[int]:
         edge = [i for i in g if i in near]
         apart = all(place[b] - place[a] > 1 for a, b in zip(g, g[1:]))
         if len(g) > 1 and apart and not any(_ITEM.match(lines[i]) and not barred and not re.fullmatch(r"\s*\[[^\]]+\]\s*", lines[i]) for i in g):
-            inner = [i for i in g if _interrupts(lines, filled, place[i], numbers | set(g))]
-            if len(edge) >= 2 or (edge and inner) or len(inner) >= 2 or (inner and barred):
+            inner = [i for i in g if _interrupts(lines, filled, place[i], numbers | set(g)) and not re.match(r"[a-zà-ÿ]", lines[i].strip("\f \t"))]
+            same = len(inner) >= 2 and (len(key) >= 8 or len(g) > 3) and SequenceMatcher(None, _plain(lines[inner[0]]), _plain(lines[inner[1]]), autojunk=False).ratio() >= 0.85
+            if len(edge) >= 2 or (edge and inner) or same or (inner and barred):
                 title = g[0] if place[g[0]] <= 1 and len(g) > 1 and g[0] not in near and len(key) > 12 and not lines[g[0]].startswith("\f") else None
                 out |= set(g) - {title}
         elif barred and (edge or len(filled) > 1):
@@ -148,7 +156,7 @@ def running_lines(lines: list[str], numbers: set[int]) -> set[int]:
         whole = _plain(lines[head])
         for i in fit:
             k = _plain(lines[i])
-            if i != head and i not in out and len(k) >= 8 and len(k) < len(whole) and (whole.endswith(k) or whole.startswith(k)) and (i in near or _interrupts(lines, filled, place[i], numbers)):
+            if i != head and i not in out and len(k) >= 8 and len(k) < len(whole) and (whole.endswith(k) or whole.startswith(k)) and (i in near or _interrupts(lines, filled, place[i], numbers) and not re.match(r"[a-zà-ÿ]", lines[i].strip("\f \t"))):
                 out.add(i)
     return out
 
@@ -160,7 +168,7 @@ def _interrupts(lines: list[str], filled: list[int], k: int, skip: set[int]) ->
     if a is None or b is None:
         return False
     before, after = lines[a].rstrip(), lines[b].lstrip("\f \t")
-    return len(before) > 15 and not _ENDED.search(before) and not _ITEM.match(after) and bool(re.match(r"[a-zà-ÿ가-힣(0-9]", after))
+    return len(before) > 15 and not _ENDED.search(before) and not _ITEM.match(after) and not _ITEM.match(before) and bool(re.match(r"[a-zà-ÿ가-힣(]", after))
 
 
 class Reader:
@@ -170,6 +178,7 @@ class Reader:
         self.count = lambda w: vocabulary.get(w, 0)
         self.known = vocabulary
         self.kept: dict[str, tuple[str, bool] | None] = {}
+        self.sound: set[str] = set()  # words met that need no repair
 
     def better(self, new: str, old: str) -> bool:
         n = self.count(new)
@@ -224,36 +233,43 @@ class Reader:
         return new, bool(re.search(r"[@!|]|(?<=[^\W\d_])\d+(?=[^\W\d_])|^\d(?=[a-z]{3})|0\|", low))
 
 
-_TOKEN = re.compile(rf"[^\W_]+(?:[{re.escape('@!|' + STRAY)}][^\W_]+)*[@!]?", re.U)
+_SIGNED = re.compile(r"[^\W_]*(?:(?<=[^\W_])[@!|`^~;·]|(?<=[가-힣\d])'(?=[가-힣]))(?:[^\W_]+[@!|`^~;·']?)+|[@!|][^\W_]{2,}")
+_SIGN = re.compile(r"[@!|`^~;·](?=[^\W_])|(?<=[가-힣\d])'(?=[가-힣])")
 _DAMAGED_FIGURE = re.compile(r"(?<![\w.,-])(?=[\d,.]*[lOSB])(?=[lOSB,.]*\d)[\dlOSB]+(?:[.,][\dlOSB]+)*(?=일|개|쪽|명|년|월|시|분|초|차|건|종|회|조|원|곳|%|\.\s|\s|$)")
+_SOME_FIGURE = re.compile(r"\d[lOSB]|[lOSB][\d,]")
 
 
 def damaged_words(text: str, reader: Reader) -> tuple[dict[str, str], int, int]:
     """Replacements, and the numbers of sure and of possible misreadings."""
     swaps: dict[str, str] = {}
     sure = maybe = 0
-    for token, n in Counter(_TOKEN.findall(text)).items():
-        if _WORD.fullmatch(token):
-            if reader.count(token.lower()) >= KNOWN * 4 and not re.search(r"[가-힣]", token):
-                continue
+    odd = set(_WORD.findall(text.lower())) - reader.sound
+    hurt = set()
+    for w in odd:
+        if reader.word(w) is None:
+            if len(reader.sound) < 500_000:
+                reader.sound.add(w)
+        else:
+            hurt.add(w)
+    if hurt:
+        for token, n in Counter(t for t in _WORD.findall(text) if t.lower() in hurt).items():
             if got := reader.word(token):
                 swaps[token] = got[0]
                 sure, maybe = sure + n * got[1], maybe + n * (not got[1])
-            continue
-        bare = re.sub(rf"[{re.escape(STRAY)}]", "", token)
-        parts = _WORD.findall(token)
-        if bare != token and reader.count(bare.lower()) >= KNOWN and not ("'" in token and re.search(r"[A-Za-zÀ-ÿ]'[A-Za-zÀ-ÿ]", token) and all(len(p) == 1 or reader.count(p.lower()) for p in parts)):
-            if min(reader.count(p.lower()) for p in parts) * RATIO <= reader.count(bare.lower()):
+    if _SIGN.search(text):
+        for token, n in Counter(_SIGNED.findall(text)).items():
+            parts = [p.lower() for p in _WORD.findall(token)]
+            bare = re.sub(rf"[{re.escape(STRAY)}]", "", token)
+            whole = reader.count(bare.lower())
+            if bare != token and whole >= KNOWN and min(map(reader.count, parts)) * RATIO <= whole:
                 swaps[token] = bare
                 maybe += n
                 sure += n * bool(re.search(r"[가-힣][`^~|;'][가-힣]", token))
-            continue
-        if re.search(r"[@!]|0\|", token) and (got := reader.word(token)):
-            swaps[token] = got[0]
-            sure += n
-    figures = {m[0] for m in _DAMAGED_FIGURE.finditer(text)}
-    for f in figures:
-        if re.search(r"\d", f):
+            elif re.search(r"[@!]|0\|", token) and (got := reader.word(token.rstrip(STRAY))):
+                swaps[token.rstrip(STRAY)] = got[0]
+                sure += n
+    if _SOME_FIGURE.search(text):
+        for f in {m[0] for m in _DAMAGED_FIGURE.finditer(text)}:
             swaps[f] = f.translate(DIGIT_READ)
             maybe += 1
     return swaps, sure, maybe
@@ -264,11 +280,10 @@ def joins(lines: list[str], reader: Reader) -> tuple[list[tuple[int, str]], int,
     out, sure, maybe = [], 0, 0
     for i in range(len(lines) - 1):
         a, b = lines[i].rstrip(" \t\r"), lines[i + 1].lstrip("\f")
-        right = _WORD.match(b)
-        if not right or not a or right[0][0].isdigit():
+        if not a or not b or not b[0].isalpha() or a[-1] in _CLOSED:
             continue
-        r = right[0]
-        if m := _BREAK.search(lines[i]):
+        r = _WORD.match(b)[0]
+        if a[-1] in _HYPHENS and (m := _BREAK.search(lines[i])):
             left = m[1]
             whole = (left + r).lower()
             if reader.count(whole) >= KNOWN and reader.count(whole) * 4 >= min(reader.count(left.lower()), reader.count(r.lower())) or (got := reader.word(whole)) is not None and got:
@@ -284,7 +299,7 @@ def joins(lines: list[str], reader: Reader) -> tuple[list[tuple[int, str]], int,
                 out.append((i, ""))
                 maybe += 1
             continue
-        left = re.search(r"[^\W_]+$", a)
+        left = _LAST.search(a) if a[-1].isalnum() else None
         if left and not left[0].isdigit():
             whole, x, y = (left[0] + r).lower(), reader.count(left[0].lower()), reader.count(r.lower())
             n = reader.count(whole)
@@ -308,7 +323,7 @@ def repair(text: str, reader: Reader) -> tuple[str, dict[str, int]] | None:
     cut, sure_b, maybe_b = joins(solid, reader) if len(solid) > 1 else ([], 0, 0)
     swaps, sure_w, maybe_w = damaged_words(text, reader)
     traces = {"page_numbers": len(numbers), "running_lines": len(running), "broken_words": sure_b, "misread_words": sure_w, "possible": maybe_b + maybe_w}
-    if not (numbers or running or sure_b or sure_w or maybe_b + maybe_w >= 3):
+    if not (numbers or running or sure_b or sure_w or maybe_b + maybe_w >= 2):
         return None
     ends = dict(cut)
     width = sorted(map(len, solid))[int(len(solid) * 0.9)] if solid else 0
@@ -386,13 +401,13 @@ def repaired(items: DataFrame) -> DataFrame:
 
         table = {ord(k): v for k, v in alike().items() if k not in "｜"} | {c: None for c in invisible() if c != 0xAD}
         reader = Reader(known.value)
-        unusual = re.compile(r"[^\x09-\x7e\xa0-\xff가-힣]")
+        unusual = re.compile(r"[^\x09-\x7e\xa1-\xac\xae-\xff가-힣]")
         for batch in batches:
             for piece in sliced(batch, "text"):
                 kinds, keys, texts = (piece.column(i).to_pylist() for i in range(3))
                 flags, traces, out = [], [], []
                 for text in texts:
-                    plain = text.translate(table) if text and unusual.search(text) else text
+                    plain = _SOFT.sub("", text).translate(table) if text and unusual.search(text) else text
                     got = repair(plain, reader) if text else None
                     flags.append(got is not None)
                     traces.append(got[1] if got else dict.fromkeys(names, 0))
