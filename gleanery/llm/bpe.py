@@ -39,7 +39,7 @@ def classes() -> np.ndarray:
 
 def code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """All texts joined, each followed by one line feed; their code points; the positions of those line feeds."""
-    joined = "\n".join(texts) + "\n"
+    joined = "".join(t + "\n" for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
     return joined, points, ends
@@ -177,6 +177,8 @@ class ByteBpe:
     def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts and the number of words of each."""
         joined, points, ends = code_points(texts)
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         starts = word_starts(points, ends)
         stops = np.append(starts[1:], len(points))
         of = np.searchsorted(ends, starts)
