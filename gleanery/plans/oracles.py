@@ -201,6 +201,7 @@ def oracle_sql() -> dict[str, str]:
     question_tokens, body_tokens = _tokens("coalesce(question, '')"), _tokens(f"coalesce({_BODY}, '')")
     kind, section = _strip("coalesce(question_type, '')"), _section("coalesce(metadata['section_path_text'], '')")
     text_key = _key("text")
+    doc_key = _fold(f"regexp_replace({_nfkc(_strip('nm'))}, '[{JWS}]+', ' ', 'g')")
     dated = "regexp_matches(answer, '\\d{4}\\s*[.년-]\\s*\\d{1,2}\\s*[.월-]\\s*\\d{1,2}')"
     return {
         "text_normalised": f"SELECT doc_id, {_strip(norm)} AS text FROM documents",
@@ -241,7 +242,18 @@ def oracle_sql() -> dict[str, str]:
  contains({q}, '@') OR regexp_matches(lower({q}), {_q(Q.FORM_TOPIC)}) OR regexp_matches(lower({q}), {_q(Q.FORM_DATE)}) OR (regexp_matches(lower({q}), {_q(Q.FORM_PLACE)}) AND regexp_matches(lower({q}), {_q(Q.FORM_FIELD)})) AS about_form,
  coalesce(array_to_string(list_transform(regexp_extract_all(upper(coalesce(question, '')), {_q(Q.REQUIREMENT)}), lambda x: regexp_replace(x, '\\s+', '', 'g')), ','), '') AS requirement_ids FROM eval_rows""",
         "question_overlap": f"WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce({_BODY}, '')), '[가-힣a-z0-9]{{2,}}')) AS w FROM chunks), a AS (SELECT DISTINCT eval_id AS query_id, unnest(regexp_extract_all(lower(coalesce(question, '')), '[가-힣a-z0-9]{{2,}}')) AS w FROM eval_rows WHERE eval_id % 20 = 0) SELECT query_id, count(*) AS n_tokens, count(k.w) AS n_known FROM a LEFT JOIN k USING (w) GROUP BY query_id",
-        "gold_validity": f"WITH v AS (SELECT eval_id, question_type, list_filter(coalesce(gold_chunk_ids, []), lambda g: list_contains((SELECT list(chunk_id) FROM chunks), g)) AS gold FROM eval_rows) SELECT eval_id, gold, CASE WHEN lower({kind}) = 'unanswerable' AND len(gold) > 0 THEN 'unanswerable_with_gold' WHEN lower({kind}) <> 'unanswerable' AND len(gold) = 0 THEN 'answerable_without_gold' ELSE 'keep' END AS verdict FROM v",
+        "gold_validity": f"""WITH g AS (SELECT eval_id, unnest(gold_chunk_ids) AS g, unnest(range(len(gold_chunk_ids))) AS i FROM eval_rows),
+ v AS (SELECT eval_id, list(g ORDER BY i) AS gold FROM g JOIN (SELECT DISTINCT chunk_id FROM chunks) c ON g.g = c.chunk_id GROUP BY eval_id)
+ SELECT r.eval_id, coalesce(gold, []) AS gold, CASE WHEN lower({kind}) = 'unanswerable' AND gold IS NOT NULL THEN 'unanswerable_with_gold' WHEN lower({kind}) <> 'unanswerable' AND gold IS NULL THEN 'answerable_without_gold' ELSE 'keep' END AS verdict FROM eval_rows r LEFT JOIN v USING (eval_id)""",
+        "table_shapes": f"""WITH r AS (SELECT file_name, table_id, row_index, row_id, cardinality(cells) AS c, len(list_filter(map_values(cells), lambda v: v IS NOT NULL AND {_strip('v')} <> '')) AS n, coalesce({_strip('map_values(cells)[1]')}, '') <> '' AS f FROM table_rows WHERE cells IS NOT NULL AND cardinality(cells) > 0),
+ t AS (SELECT file_name, table_id, count(*) FILTER (n > 0) AS n_rows, CAST(max(c) AS BIGINT) AS n_cols, count(*) FILTER (n > 0 AND f) AS f, arg_min(n, coalesce(row_index, -1) * 1000000000000 + row_id) AS r FROM r GROUP BY ALL)
+ SELECT file_name, table_id, n_rows, n_cols, CASE WHEN n_rows = 0 THEN 'empty' WHEN n_rows = 1 OR n_cols = 1 THEN 'freeform' WHEN n_cols <= 3 AND f >= greatest(2, floor(n_rows * 0.6)) THEN 'vertical_key_value' WHEN n_cols >= 5 AND n_rows >= 5 THEN 'matrix' WHEN n_rows <= 4 AND n_cols >= 4 THEN 'horizontal_matrix' WHEN r >= greatest(2, floor(n_cols * 0.5)) THEN 'header_rows' ELSE 'mixed' END AS shape FROM t""",
+        "doc_scope": f"""WITH n AS (SELECT doc_id, file_name, coalesce(nullif({_strip("coalesce(file_name, '')")}, ''), CAST(doc_id AS VARCHAR)) AS c FROM documents),
+ k AS (SELECT {doc_key} AS key, arg_max(c, doc_id) AS c FROM (SELECT doc_id, c, unnest([CAST(doc_id AS VARCHAR), file_name]) AS nm FROM n) WHERE nm IS NOT NULL AND nm <> '' GROUP BY 1),
+ q AS (SELECT DISTINCT notice_no AS query_id, file_name AS query_doc, {_strip("coalesce(file_name, '')")} AS raw FROM doc_files WHERE notice_no IS NOT NULL),
+ w AS (SELECT *, {doc_key.replace('nm', 'raw')} AS qk FROM q),
+ x AS (SELECT w.qk, count(DISTINCT c) AS m, min(c) AS c FROM (SELECT DISTINCT qk FROM w WHERE raw <> '') w JOIN k ON contains(key, qk) OR contains(qk, key) GROUP BY 1)
+ SELECT query_id, query_doc, CASE WHEN raw = '' THEN NULL ELSE coalesce(k.c, CASE WHEN m = 1 THEN x.c END, raw) END AS scope FROM w LEFT JOIN k ON k.key = w.qk LEFT JOIN x ON x.qk = w.qk""",
         "headings": f"SELECT doc_id, pos, CAST(level AS BIGINT) AS level, title FROM {heads} WHERE level IS NOT NULL",
         "section_types": f"SELECT chunk_id, {section} AS section_type FROM chunks",
         "table_continuation": "WITH t AS (SELECT file_name, table_id, min(row_id) AS pos, min(coalesce(array_to_string(section_path, ' > '), '')) AS path, max(coalesce(cardinality(cells), 0)) AS n_cols FROM table_rows WHERE file_name IS NOT NULL AND table_id IS NOT NULL GROUP BY ALL), f AS (SELECT *, CASE WHEN lag(path) OVER w = path AND lag(n_cols) OVER w = n_cols AND n_cols > 0 THEN 0 ELSE 1 END AS nw FROM t WINDOW w AS (PARTITION BY file_name ORDER BY pos)) SELECT file_name, table_id, CAST(sum(nw) OVER (PARTITION BY file_name ORDER BY pos) AS BIGINT) AS island FROM f",
