@@ -48,12 +48,27 @@ _PAGE = [  # (name, pattern, whether one line of it is enough)
 ]
 
 
+_MAYBE = re.compile(rf"[\f \t{re.escape(STRAY)}]*(?:[-—–〈<《\[(]|제|pp?\.|page|페이지|[\dOolISB])", re.I)
+_NOISE = re.compile(rf"[{re.escape(STRAY.replace('|', ''))}]")
+_FIGURES = re.compile(r"(?<![A-Za-z가-힣])[\dOolISB]+(?![a-zA-Z가-힣])")
+
+
+def _spellings(text: str) -> Iterator[str]:
+    """The line as it is, without stray marks, and with letters read as figures."""
+    yield text
+    clean = _NOISE.sub("", text).strip()
+    yield clean
+    yield _FIGURES.sub(lambda m: m[0].translate(DIGIT_READ), clean)
+
+
 def _number(line: str) -> tuple[str, int, bool] | None:
     """The form and number of a line that can only be a page number."""
+    if len(line) > 40 or not _MAYBE.match(line):
+        return None
     text = line.strip("\f \t\r")
-    if not text or len(text) > 24 or not re.search(r"[\dOolISB]", text):
+    if len(text) > 24:
         return None
-    for clean in (text, re.sub(rf"[{re.escape(STRAY.replace('|', ''))}]", "", text).strip(), re.sub(r"(?<![A-Za-z가-힣])[\dOolISB]+(?![a-zA-Z가-힣])", lambda m: m[0].translate(DIGIT_READ), re.sub(rf"[{re.escape(STRAY.replace('|', ''))}]", "", text).strip())):
+    for clean in _spellings(text):
         for name, pattern, enough in _PAGE:
             if m := pattern.fullmatch(clean):
                 return name, int(next(g for g in m.groups() if g)), enough
@@ -89,8 +104,11 @@ def page_numbers(lines: list[str]) -> set[int]:
     return out
 
 
+_LOOKS, _REST = str.maketrans("oli1|!", "000000"), re.compile(r"\W+")
+
+
 def _plain(line: str) -> str:
-    return re.sub(r"[^\w가-힣]+", "", re.sub(r"[0OolI1|!]", "0", line.lower()))
+    return _REST.sub("", line.lower().translate(_LOOKS))
 
 
 def _alike(a: str, b: str) -> bool:
