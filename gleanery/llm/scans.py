@@ -104,11 +104,14 @@ def page_numbers(lines: list[str]) -> set[int]:
     return out
 
 
-_LOOKS, _REST = str.maketrans("oli1|!", "000000"), re.compile(r"\W+")
+_REST = re.compile(r"\W+")
 
 
 def _plain(line: str) -> str:
-    return _REST.sub("", line.lower().translate(_LOOKS))
+    line = line.lower()
+    for sign in "oli1|!":
+        line = line.replace(sign, "0")
+    return _REST.sub("", line)
 
 
 def _alike(a: str, b: str) -> bool:
@@ -120,7 +123,13 @@ def _alike(a: str, b: str) -> bool:
     return m.real_quick_ratio() >= FUZZY and m.quick_ratio() >= FUZZY and m.ratio() >= FUZZY
 
 
-_ENDED = re.compile(r"[.!?:;。…][\"'”’)\]]*\s*$")
+
+
+def _ended(line: str) -> bool:
+    """Whether a line ends a sentence, or calls for another one."""
+    return line.rstrip().rstrip("\"'”’)]")[-1:] in tuple(".!?:;。…")
+
+
 _ITEM = re.compile(r"^\s*(?:[-*•○●▶※◦□■·]\s|\(?\d{1,3}[.)]\s|[가-하][.)]\s|[①-⑳]|제\s*\d+\s*[장절조]|section\s+\d|\[[^\]\n]+\]\s*$|\||#|```|[{}<])", re.I)
 
 
@@ -186,7 +195,7 @@ def _interrupts(lines: list[str], filled: list[int], k: int, skip: set[int]) ->
     if a is None or b is None:
         return False
     before, after = lines[a].rstrip(), lines[b].lstrip("\f \t")
-    return len(before) > 15 and not _ENDED.search(before) and not _ITEM.match(after) and not _ITEM.match(before) and bool(re.match(r"[a-zà-ÿ가-힣(]", after))
+    return len(before) > 15 and not _ended(before) and not _ITEM.match(after) and not _ITEM.match(before) and bool(re.match(r"[a-zà-ÿ가-힣(]", after))
 
 
 class Reader:
@@ -365,7 +374,7 @@ def repair(text: str, reader: Reader) -> tuple[str, dict[str, int]] | None:
             out[-1] = out[-1][: m.end(1)] + ends[k] if m else out[-1]
             open_ = ""
         else:
-            open_ = " " if len(line) >= 0.6 * width and not (_ENDED.search(line) and len(line) < 0.8 * width) and len(line) > 12 else None
+            open_ = " " if len(line) >= 0.6 * width and not (_ended(line) and len(line) < 0.8 * width) and len(line) > 12 else None
     made = "\n".join(out).strip("\n")
     if swaps:
         made = re.sub("|".join(rf"(?<!\w){re.escape(w)}(?!\w)" for w in sorted(swaps, key=len, reverse=True)), lambda m: swaps[m[0]], made)
