@@ -259,5 +259,6 @@ def oracle_sql() -> dict[str, str]:
         "table_continuation": "WITH t AS (SELECT file_name, table_id, min(row_id) AS pos, min(coalesce(array_to_string(section_path, ' > '), '')) AS path, max(coalesce(cardinality(cells), 0)) AS n_cols FROM table_rows WHERE file_name IS NOT NULL AND table_id IS NOT NULL GROUP BY ALL), f AS (SELECT *, CASE WHEN lag(path) OVER w = path AND lag(n_cols) OVER w = n_cols AND n_cols > 0 THEN 0 ELSE 1 END AS nw FROM t WINDOW w AS (PARTITION BY file_name ORDER BY pos)) SELECT file_name, table_id, CAST(sum(nw) OVER (PARTITION BY file_name ORDER BY pos) AS BIGINT) AS island FROM f",
         "table_row_groups": "WITH r AS (SELECT file_name, table_id, coalesce(_rag_row_text, '') AS t, row_number() OVER (PARTITION BY file_name, table_id ORDER BY row_index NULLS FIRST, row_id) AS rn FROM table_rows) SELECT file_name, table_id, (rn - 1) // 10 AS grp, min(rn) || '-' || max(rn) AS label, count(*) AS n, string_agg(t, chr(10) ORDER BY rn) AS text FROM r GROUP BY file_name, table_id, grp",
         "record_runs": "WITH f AS (SELECT doc_id, row_idx, chunk_type, CASE WHEN row_number() OVER w > 1 AND lag(chunk_type) OVER w IS NOT DISTINCT FROM chunk_type THEN 0 ELSE 1 END AS nw FROM chunks WHERE doc_id IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY row_idx)), i AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY row_idx) AS island FROM f) SELECT doc_id, CAST(island AS BIGINT) AS island, chunk_type, count(*) AS n, min(row_idx) AS first_pos FROM i GROUP BY doc_id, island, chunk_type",
+        "page_events_filled": "SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seen_filled FROM events",
         "chat_facets": "SELECT 'type' AS facet, coalesce(chunk_type, 'none') AS value, count(*) AS n FROM chunks GROUP BY ALL UNION ALL SELECT 'section', coalesce(metadata['section_type'], 'none'), count(*) FROM chunks GROUP BY ALL",
     }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions.numbering import positions
-from gleanery.operators import metrics, ocr, questions, sampling, search, splitters, structure
+from gleanery.operators import metrics, ocr, pages, questions, records, sampling, search, splitters, structure
 from gleanery.session import table
 
 #: Searches take as queries every row whose id is divisible by this, against all rows.
@@ -314,12 +314,45 @@ def chat_facets(spark, d):
     return a.unionByName(b)
 
 
+def _records_of(spark, d) -> DataFrame:
+    """Chunks read back as parsed records: one per chunk, in order, tables by their type."""
+    c = table(spark, d, "chunks")
+    is_table = F.col("chunk_type").startswith("table_")
+    none = F.lit(None).cast("string")
+    return c.select(
+        F.coalesce(F.col("metadata")["file_name"], F.lit("")).alias("file_name"), F.col("row_idx").alias("pos"), F.when(is_table, "table").when(F.col("chunk_type") == "cover_text", "cover_text").otherwise("section_text").alias("content_type"),
+        F.split(F.coalesce(F.col("metadata")["section_path_text"], F.lit("")), " > ").alias("section_path"), "text", F.when(is_table, F.col("chunk_id")).alias("table_id"), F.when(is_table, F.substring_index("chunk_type", "/", -1)).alias("table_type"),
+        none.alias("shape"), F.when(is_table, F.size(F.split("text", "\n"))).alias("n_cols"), F.array().cast("array<string>").alias("header"), F.when(is_table, F.split("text", "\n")).alias("rows"),
+    )
+
+
+def record_chunks(spark, d):
+    return records.chunks(_records_of(spark, d))
+
+
+def record_table_groups(spark, d):
+    marked = records.table_groups(_records_of(spark, d))
+    return marked.where("role IS NOT NULL").select("file_name", "pos", "group", "role")
+
+
+def html_grids(spark, d):
+    """Cells of the tables that stand as HTML in chunks."""
+    c = table(spark, d, "chunks").where(F.contains(F.lower("text"), F.lit("<t")))
+    return pages.grid_records(c.select("chunk_id", pages.grid("text").alias("grid")), "chunk_id")
+
+
+def page_events_filled(spark, d):
+    """The last known value of each user's events of one kind, carried forward."""
+    e = table(spark, d, "events").withColumn("seen", F.when(F.col("event_type") == "view", F.col("value")))
+    return pages.carried_forward(e, "seen", ["user_id"], "event_id").select("event_id", "seen_filled")
+
+
 NAMES = [
     text_normalised, text_clean_block, text_keys, search_tokens, html_text, durations, bm25_corpus_stats, bm25_term_df, bm25_topk, bm25_doc_filtered, dense_topk, dense_filtered,
     hybrid_rrf, hybrid_threshold, hybrid_minmax, reranked, context_budget, last_turns, doc_scope, documents_of_files, retrieval_metrics, answer_bundle, answer_match, harness_summary, report_levels,
     task_outcomes, failure_counts, failures_top, successes, split_baseline, split_oversized, split_section, split_paragraph, chunked_documents, chunk_summary, slim_projection, merged_ids,
     mock_embedding, quota_sample, sampling_summary, stride_sample, question_filters, question_overlap, gold_validity, headings, heading_paths, section_types, table_shapes, table_continuation,
-    table_row_groups, record_runs, ocr_errors, ocr_fields, ocr_summary, chat_facets,
+    table_row_groups, record_runs, ocr_errors, ocr_fields, ocr_summary, chat_facets, record_chunks, record_table_groups, html_grids, page_events_filled,
 ]
 
 
