@@ -11,6 +11,14 @@ UNION ALL SELECT 'chunk', chunk_id, text FROM chunks)"""
 def oracle_sql() -> dict[str, str]:
     form = canonical_sql("text")
     return {
+        "p1_found": "SELECT row_id FROM table_rows WHERE length(_rag_row_text) > 1200",
+        "p6_found": f"SELECT rec_kind, rec_id FROM {_RECORDS} WHERE length(text) > 1200",
+        "p7_ranking": """WITH b AS (SELECT eval_id, scorer, chunk_id, max(score) AS s FROM ranked_chunks WHERE score IS NOT NULL AND NOT isnan(score) AND eval_id IS NOT NULL AND chunk_id IS NOT NULL AND scorer IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY eval_id, scorer ORDER BY s DESC) + (count(*) OVER (PARTITION BY eval_id, scorer, s) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY eval_id, scorer) AS n FROM b),
+a AS (SELECT c.eval_id, c.chunk_id, CAST(coalesce(r.rk, l.n + 1) AS DOUBLE) AS rk, r.rk IS NOT NULL AS own FROM (SELECT DISTINCT eval_id, chunk_id FROM r) c JOIN (SELECT DISTINCT eval_id, scorer, n FROM r) l ON c.eval_id = l.eval_id
+ LEFT JOIN r ON r.eval_id = c.eval_id AND r.chunk_id = c.chunk_id AND r.scorer = l.scorer),
+m AS (SELECT eval_id, chunk_id, count(*) FILTER (own) AS n_scorers, round(median(rk), 6) AS median_rank, round(avg(rk), 6) AS mean_rank FROM a GROUP BY eval_id, chunk_id)
+SELECT *, row_number() OVER (PARTITION BY eval_id ORDER BY median_rank, mean_rank, chunk_id) AS rank_no FROM m""",
         "p3_canonical": f"SELECT rec_kind, rec_id, {form} AS text FROM {_RECORDS}",
         "p3_found": f"""WITH r AS (SELECT rec_kind, rec_id, text, {form} AS form FROM {_RECORDS} WHERE text IS NOT NULL)
 SELECT a.rec_kind, a.rec_id AS id_a, b.rec_id AS id_b FROM r a JOIN r b
