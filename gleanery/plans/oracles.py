@@ -219,6 +219,11 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_rrf": f"SELECT query_id, chunk_id, round(rrf, 9) AS rrf, round(score, 6) AS score, rank FROM {_FUSED} WHERE rank <= 10",
         "hybrid_threshold": f"SELECT query_id, count(*) AS n FROM {_FUSED} WHERE rank <= 10 AND score >= 0.5 GROUP BY query_id",
         "hybrid_minmax": f"SELECT query_id, chunk_id, round({_SCALED.format('score')}, 6) AS score FROM {_leg('dense')} WINDOW w AS (PARTITION BY query_id)",
+        "reranked": f"""WITH f AS (SELECT query_id, chunk_id, rank FROM {_FUSED} WHERE rank <= 20),
+ x AS (SELECT query_id, chunk_id, rank, list_distinct({question_tokens}) AS qt, {_tokens("coalesce(text, '')")} AS tt FROM f JOIN eval_rows ON eval_id = query_id JOIN chunks USING (chunk_id)),
+ o AS (SELECT query_id, chunk_id, rank, CASE WHEN len(qt) = 0 THEN 0.0 ELSE CAST(len(list_intersect(qt, list_distinct(tt))) AS DOUBLE) / len(qt) END AS o FROM x),
+ r AS (SELECT query_id, chunk_id, {_SCALED.format('o')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, rank) AS rank FROM o WINDOW w AS (PARTITION BY query_id))
+ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
         "context_budget": f"SELECT * FROM (SELECT query_id, chunk_id, CAST(sum(length(coalesce(text, ''))) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM {_leg('dense')} JOIN chunks USING (chunk_id)) WHERE used <= 3000",
         "last_turns": "SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events) WHERE back <= 6",
         "documents_of_files": "WITH f AS (SELECT file_name, max(ROW(posted_at, agency, notice_no)) AS x FROM doc_files WHERE file_name IS NOT NULL GROUP BY file_name) SELECT doc_id, d.file_name, x[2] AS agency, x[3] AS notice_no FROM (SELECT doc_id, coalesce(file_name, regexp_extract(path, '([^/]+)$', 1)) AS file_name FROM documents) d LEFT JOIN f USING (file_name)",
@@ -255,6 +260,9 @@ def oracle_sql() -> dict[str, str]:
  x AS (SELECT w.qk, count(DISTINCT c) AS m, min(c) AS c FROM (SELECT DISTINCT qk FROM w WHERE raw <> '') w JOIN k ON contains(key, qk) OR contains(qk, key) GROUP BY 1)
  SELECT query_id, query_doc, CASE WHEN raw = '' THEN NULL ELSE coalesce(k.c, CASE WHEN m = 1 THEN x.c END, raw) END AS scope FROM w LEFT JOIN k ON k.key = w.qk LEFT JOIN x ON x.qk = w.qk""",
         "headings": f"SELECT doc_id, pos, CAST(level AS BIGINT) AS level, title FROM {heads} WHERE level IS NOT NULL",
+        "heading_paths": f"""WITH h AS (SELECT *, {", ".join(f"last_value(CASE WHEN level = {n} THEN pos END IGNORE NULLS) OVER w AS p{n}, last_value(CASE WHEN level = {n} THEN title END IGNORE NULLS) OVER w AS t{n}" for n in (1, 2, 3, 4))} FROM {heads} WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ p AS (SELECT doc_id, pos, list_filter([t1, CASE WHEN p2 > coalesce(p1, -1) THEN t2 END, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN t3 END, CASE WHEN p4 > greatest(coalesce(p1, -1), coalesce(p2, -1), coalesce(p3, -1)) THEN t4 END], lambda t: t IS NOT NULL) AS l FROM h)
+ SELECT doc_id, pos, coalesce(array_to_string(l, ' > '), '') AS path, {_section("coalesce(array_to_string(l, ' '), '')")} AS section_type FROM p""",
         "section_types": f"SELECT chunk_id, {section} AS section_type FROM chunks",
         "table_continuation": "WITH t AS (SELECT file_name, table_id, min(row_id) AS pos, min(coalesce(array_to_string(section_path, ' > '), '')) AS path, max(coalesce(cardinality(cells), 0)) AS n_cols FROM table_rows WHERE file_name IS NOT NULL AND table_id IS NOT NULL GROUP BY ALL), f AS (SELECT *, CASE WHEN lag(path) OVER w = path AND lag(n_cols) OVER w = n_cols AND n_cols > 0 THEN 0 ELSE 1 END AS nw FROM t WINDOW w AS (PARTITION BY file_name ORDER BY pos)) SELECT file_name, table_id, CAST(sum(nw) OVER (PARTITION BY file_name ORDER BY pos) AS BIGINT) AS island FROM f",
         "table_row_groups": "WITH r AS (SELECT file_name, table_id, coalesce(_rag_row_text, '') AS t, row_number() OVER (PARTITION BY file_name, table_id ORDER BY row_index NULLS FIRST, row_id) AS rn FROM table_rows) SELECT file_name, table_id, (rn - 1) // 10 AS grp, min(rn) || '-' || max(rn) AS label, count(*) AS n, string_agg(t, chr(10) ORDER BY rn) AS text FROM r GROUP BY file_name, table_id, grp",
