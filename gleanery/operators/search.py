@@ -85,9 +85,10 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 256,
     ``queries``: (query_id, vector); ``vectors``: (chunk_id, row_idx, vector).  A stated
     query set against all rows, in blocks: queries are gathered in blocks of ``block`` and
     each vector meets whole blocks; every task keeps its ``k`` best per query before the
-    shuffle.  ``allowed`` is a condition on query and vector columns.
+    shuffle.  ``allowed`` is a condition on query and vector columns.  Null and zero vectors
+    have no hits.
     """
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
+    unit = lambda v: F.transform(v, lambda x: F.try_divide(x.cast("double"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")))))
     q = queries.withColumn("q", unit(F.col("vector"))).drop("vector")
     blocks = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(1 << 30)) % block).groupBy("b").agg(F.collect_list(F.struct(*q.columns)).alias("qs")) if block > 1 else q
     v = vectors.withColumn("v", unit(F.col("vector"))).drop("vector")
