@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.storage import shared_table
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -53,18 +54,19 @@ def bm25(queries: DataFrame, index: DataFrame, k: int = 10, allowed: DataFrame |
     ``allowed`` (query_id, chunk_id) restricts the hits, not the statistics, which stay
     those of the whole corpus.  Queries without a matching term have no rows.
     """
-    posts = postings(index)
+    tokenised = shared_table(index.select("chunk_id", "row_idx", T.tokens(F.coalesce("body", F.lit(""))).alias("t")))  # the texts are read once
+    stats = tokenised.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.size("t")).alias("avg_len"))
     terms = query_terms(queries)
-    df = document_frequency(posts).join(terms.select("term").distinct(), "term", "left_semi")
-    stats = corpus_stats(index)
-    hits = terms.join(posts, "term").join(df, "term")
+    found = tokenised.select("chunk_id", "row_idx", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    posts = shared_table(found.groupBy("term", "chunk_id", "row_idx", "dl").agg(F.count(F.lit(1)).alias("tf")))  # postings of asked terms only
+    hits = terms.join(posts, "term").join(document_frequency(posts), "term")
     if allowed is not None:
         hits = hits.join(allowed, ["query_id", "chunk_id"], "left_semi")
     n, avg = F.col("n_chunks"), F.greatest(F.col("avg_len"), F.lit(1e-9))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
-    scored = hits.crossJoin(F.broadcast(stats)).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")  # one row of statistics
-    return top_k(scored.join(index.select("chunk_id", "row_idx"), "chunk_id"), k)
+    scored = hits.crossJoin(F.broadcast(stats)).groupBy("query_id", "chunk_id", "row_idx").agg(F.sum(part).alias("score")).where("score > 0")  # one row of statistics
+    return top_k(scored, k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
