@@ -1,10 +1,12 @@
 """Mixing sources to target shares of the tokens.
 
-Budgets run down a tree domain - language - source in proportion to the target shares.
-What a source cannot fill with its documents, each used at most ``max_repeats`` times,
-goes to its siblings first, then to its language's and its domain's siblings.  Each
-source's budget is then filled from seeded epochs: whole epochs, and of the last one the
-first documents of its shuffled order.
+Budgets run down a tree domain - language - source in proportion to the target shares; a
+source's share is split over the languages of its documents by their tokens, so it has a
+leaf in each.  What a leaf cannot fill with its documents, each used at most
+``max_repeats`` times, goes to its siblings first, then to its language's and its
+domain's siblings.  A target without documents is a leaf without room.  Each leaf's
+budget is then filled from seeded epochs: whole epochs, and of the last one the first
+documents of its shuffled order.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ BUCKET = 20_000
 
 @dataclass
 class Node:
-    """A node of the budget tree; leaves are sources."""
+    """A node of the budget tree; leaves are the documents of a source in one language."""
 
     name: str
     weight: float = 0.0
@@ -88,51 +90,72 @@ def language(lang):
     return F.coalesce(code, F.lit("?"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, tokenizer: str = "byte_bpe_50k") -> tuple[DataFrame, DataFrame]:
+def largest_total(rows: list[dict]) -> int:
+    """The largest total at which no leaf that has documents falls short."""
+    unbounded = tree([r | {"room": float("inf") if r["room"] else 0.0} for r in rows])
+    spread(unbounded, 1.0)
+    parts = {id_: x.budget for id_, x in _placed(unbounded).items()}
+    return int(min((r["room"] / parts[r["domain"], r["lang"], r["source"]] for r in rows if r["room"]), default=0))
+
+
+def _placed(root: Node) -> dict[tuple[str, str, str], Node]:
+    """The leaves by domain, language and source."""
+    return {(d.name, x.name, s.name): s for d in root.children for x in d.children for s in x.children}
+
+
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, tokenizer: str = "byte_bpe_50k", domain=domain) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, n_tokens, times) and the shares (one row per target source).
 
     ``total`` is the size of the mix in tokens; by default the largest at which every
     source that has documents reaches its share within its repeats.  ``targets`` is a
-    table of settings, one row per source; only it, and one row per source of totals,
-    come to the driver.  Sources without target, null sources, and documents without
-    tokens are left out; a source without documents passes its share on; repeated rows
+    table of settings, one row per source; only it, and one row per source and language
+    of totals, come to the driver.  ``domain`` gives the domain of a source column.
+    Sources without target, null sources, and documents without tokens are left out; a
+    source without documents passes its share to its domain's other sources, or if there
+    are none, to all; repeated rows
     of a source in ``targets`` count once, with the largest share.  The last document is
     taken only if that brings the source nearer to its budget.
     """
     spark = documents.sparkSession
     wanted = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    goals = {r["source"]: r for r in wanted.collect()}
+    goals = {r["source"]: r for r in wanted.withColumn("domain", domain(F.col("source"))).collect()}
     sized = token_counts(documents.where(F.col("source").isin(list(goals))), ["doc_id", "source", "lang"], tokenizer=tokenizer).where("n_tokens > 0 AND doc_id IS NOT NULL")
-    sized = shared_table(sized)
-    by_lang = sized.groupBy("source", language(F.col("lang")).alias("lang")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("d"))
-    facts = by_lang.groupBy("source").agg(F.max_by("lang", F.struct("t", "lang")).alias("lang"), F.sum("t").alias("tokens"), F.sum("d").alias("docs"))
-    have = {r["source"]: r for r in facts.withColumn("domain", domain(F.col("source"))).collect()}  # at most one row per target
-
-    rows = [{"domain": h["domain"], "lang": h["lang"], "source": s, "weight": goals[s]["target_share"], "room": float(h["tokens"] * goals[s]["max_repeats"])} for s, h in sorted(have.items())]
-    weight = sum(r["weight"] for r in rows)
-    if total is None:
-        total = int(min((r["room"] * weight / r["weight"] for r in rows), default=0))
+    sized = shared_table(sized.withColumn("lang", language(F.col("lang"))))
+    facts = sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()  # a row per target and language
+    have: dict[str, list] = {}
+    for f in sorted(facts, key=lambda f: (f["source"], f["lang"])):
+        have.setdefault(f["source"], []).append(f)
+
+    rows = []
+    for s, goal in sorted(goals.items()):
+        whole = sum(f["tokens"] for f in have.get(s, []))
+        for f in have.get(s, []):
+            rows.append({"domain": goal["domain"], "lang": f["lang"], "source": s, "weight": goal["target_share"] * f["tokens"] / whole, "room": float(f["tokens"] * goal["max_repeats"])})
+        if s not in have:
+            rows.append({"domain": goal["domain"], "lang": "", "source": s, "weight": goal["target_share"], "room": 0.0})
     root = tree(rows)
-    spread(root, float(total))
-    budgets = {x.name: x.budget for x in _leaves(root)} if rows else {}
+    spread(root, float(largest_total(rows) if total is None else total))
+    leaves = {(s, lang): x.budget for (_, lang, s), x in _placed(root).items()}
+    budgets = {s: sum(x for (name, _), x in leaves.items() if name == s) for s in goals}
 
-    plan = [(s, int(budgets[s] // have[s]["tokens"]), float(budgets[s] % have[s]["tokens"]), max(1, -(-int(have[s]["docs"]) // BUCKET))) for s in sorted(have)]
-    settings = spark.createDataFrame(plan, "source string, whole int, rest double, buckets int")
-    keyed = sized.join(F.broadcast(settings), "source")  # one row per target
+    plan = [(f["source"], f["lang"], int((x := leaves[f["source"], f["lang"]]) // f["tokens"]), float(x % f["tokens"]), max(1, -(-int(f["docs"]) // BUCKET))) for fs in have.values() for f in fs]
+    settings = spark.createDataFrame(plan, "source string, lang string, whole int, rest double, buckets int")
+    keyed = sized.join(F.broadcast(settings), ["source", "lang"])  # a row per target and language
     # the order of the epoch after the whole ones: by a hash of seed, epoch and document, in buckets of that hash
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id")), 1)
     keyed = keyed.withColumn("draw", draw).withColumn("bucket", F.floor(F.col("draw").cast("double") / float(2**63) * F.col("buckets")).cast("int"))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
-    past = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy("source", "lang", "bucket").agg(F.sum("n_tokens").alias("t"))
+    past = Window.partitionBy("source", "lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(past), F.lit(0))).drop("t")
-    within = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.join(sums, ["source", "bucket"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
+    within = Window.partitionBy("source", "lang", "bucket").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = keyed.join(sums, ["source", "lang", "bucket"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
     taken = F.when(F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)
     chosen = placed.select("doc_id", "source", "n_tokens", (F.col("whole") + taken).cast("int").alias("times")).where("times > 0")
     chosen = shared_table(chosen)
 
     reached = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.sum("times").alias("uses"), F.count(F.lit(1)).alias("documents"))
-    told = [(s, (have[s]["domain"] if s in have else None), (have[s]["lang"] if s in have else None), float(goals[s]["target_share"]), int(goals[s]["max_repeats"]), float(budgets.get(s, 0.0))) for s in sorted(goals)]
+    most = {s: max(fs, key=lambda f: (f["tokens"], f["lang"]))["lang"] for s, fs in have.items()}
+    told = [(s, goals[s]["domain"] if s in have else None, most.get(s), float(goals[s]["target_share"]), int(goals[s]["max_repeats"]), float(budgets[s])) for s in sorted(goals)]
     told = spark.createDataFrame(told, "source string, domain string, lang string, target_share double, max_repeats int, budget double")
     whole = reached.agg(F.sum("tokens").alias("all"))
     shares = told.join(reached, "source", "left").crossJoin(F.broadcast(whole))  # one row

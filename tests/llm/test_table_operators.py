@@ -143,6 +143,19 @@ def test_mix(spark):
     assert empty.count() == 0 and none.count() == 3
 
 
+def test_mix_passes_shortages_to_siblings(spark):
+    docs = [(1000 * k + i, s, lang, "w " * 10) for k, (s, lang, n) in enumerate([("a_x", "ko", 10), ("b_x", "ko", 300), ("b_x", "en", 300), ("c_y", "ko", 900)]) for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, lang string, text string")
+    goals = spark.createDataFrame([("a_x", 0.3, 1), ("b_x", 0.2, 2), ("c_y", 0.4, 1), ("gone_y", 0.1, 1)], "source string, target_share double, max_repeats int")
+    each = mixing.token_counts(df.limit(1), ["doc_id"]).first()["n_tokens"]
+    got = {r["source"]: r for r in mixing.mix(df, goals, total=600 * each)[1].collect()}
+    # a_x lacks 170 documents, b_x of its domain gets them; gone_y has none, c_y of its domain gets them
+    assert {s: round(r["budget"] / each) for s, r in got.items()} == {"a_x": 10, "b_x": 290, "c_y": 300, "gone_y": 0}
+    # within b_x the rest of a_x goes to its Korean documents, not to the English ones
+    chosen = mixing.mix(df, goals, total=600 * each)[0].where("source = 'b_x'").join(df.select("doc_id", "lang"), "doc_id")
+    assert {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.sum("times").alias("n")).collect()} == {"ko": 230, "en": 60}
+
+
 def test_every_query_runs(spark, data):
     for name, query in queries.queries().items():
         assert query(spark, data).limit(1_000_000).count() >= 0, name
