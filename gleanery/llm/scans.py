@@ -221,9 +221,8 @@ class Reader:
 
     def _word(self, w: str) -> tuple[str, bool] | None:
         low = w.lower()
-        if self.count(low) >= KNOWN * 4 or len(low) > 40:
-            if not re.search(r"[가-힣]", low) or len(low) < 2:
-                return None
+        if len(low) > 40 and not re.search(r"[가-힣]", low):
+            return None
         best: tuple[int, str] | None = None
         if re.search(r"[가-힣]", low):
             options = {low}

@@ -92,6 +92,12 @@ def test_repair_of_scans(spark):
     assert scans.repaired(df.limit(0)).count() == 0
 
 
+def test_frequent_misreadings_are_misreadings():
+    reader = scans.Reader({"the": 5000, "tlie": 40, "thc": 190, "arc": 201})
+    assert reader.word("tlie") == ("the", False) and reader.word("Thc") == ("The", False)
+    assert reader.word("the") is None and reader.word("arc") is None
+
+
 HITS = "eval_id long, chunk_id string, scorer string, score double, rank long"
 
 
