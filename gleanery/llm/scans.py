@@ -8,18 +8,25 @@ such traces stay as they are.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.storage import shared_table
 
-#: Words of at least this share of all words form the vocabulary: at most 1 / SHARE of them, whatever the corpus.
+#: A word is common at this share of all words and at least so many occurrences; what is rarer is no word by itself.
 SHARE, LEAST = 2e-6, 3
 #: A restored word must occur so many times, and so many times as often as the damaged one.
 KNOWN, RATIO = 5, 25
@@ -198,12 +205,35 @@ def _interrupts(lines: list[str], filled: list[int], k: int, skip: set[int]) ->
     return len(before) > 15 and not _ended(before) and not _ITEM.match(after) and not _ITEM.match(before) and bool(re.match(r"[a-zà-ÿ가-힣(]", after))
 
 
+class Counts:
+    """Exact counts of all words, in two mapped files: sorted hashes, and counts in the same order."""
+
+    def __init__(self, hashes: str, counts: str) -> None:
+        import xxhash
+
+        self.hash = xxhash.xxh64_intdigest
+        self.hashes, self.counts = (np.asarray(np.memmap(f, np.int64, "r")) if Path(f).stat().st_size else np.zeros(0, np.int64) for f in (hashes, counts))
+        self.size = 1 << max(16, min(24, (len(self.hashes) * 16).bit_length()))
+        some = np.zeros(self.size, np.uint8)  # whether any word's hash ends so: spares most searches
+        for i in range(0, len(self.hashes), 1 << 20):
+            some[self.hashes[i : i + (1 << 20)] & (self.size - 1)] = 1
+        self.some = some.tobytes()
+
+    def get(self, word: str, default: int = 0) -> int:
+        h = self.hash(word.encode("utf-8", "surrogatepass"), 42)
+        if not self.some[h & (self.size - 1)]:
+            return default
+        h = h - (1 << 64) if h >= 1 << 63 else h
+        i = int(self.hashes.searchsorted(h))
+        return int(self.counts[i]) if i < len(self.hashes) and self.hashes[i] == h else default
+
+
 class Reader:
     """Restores words by the corpus vocabulary."""
 
-    def __init__(self, vocabulary: dict[str, int]) -> None:
+    def __init__(self, vocabulary: dict[str, int] | Counts, common: float = LEAST) -> None:
         self.count = lambda w: vocabulary.get(w, 0)
-        self.known = vocabulary
+        self.common = lambda w: self.count(w) >= common
         self.kept: dict[str, tuple[str, bool] | None] = {}
         self.sound: set[str] = set()  # words met that need no repair
 
@@ -244,7 +274,7 @@ class Reader:
                         while at >= 0:
                             more.add(o[:at] + b + o[at + len(a) :])
                             at = o.find(a, at + 1)
-                if any(self.count(o) >= KNOWN for o in more) or len(more) > 150:
+                if any(self.better(o, low) for o in more) or len(more) > 150:
                     options |= more
                     break
                 options |= more
@@ -317,9 +347,9 @@ def joins(lines: list[str], reader: Reader) -> tuple[list[tuple[int, str]], int,
                 sure += 1
             elif re.search(r"[가-힣]$", left) and re.match(r"[가-힣]", r) or m[2] in "‐¬­":
                 out.append((i, ""))
-                sure += m[2] != "-" or not (reader.count(left.lower()) and reader.count(r.lower()))
+                sure += m[2] != "-" or not (reader.common(left.lower()) and reader.common(r.lower()))
                 maybe += 1
-            elif reader.count(left.lower()) and reader.count(r.lower()):
+            elif reader.common(left.lower()) and reader.common(r.lower()):
                 out.append((i, "-"))  # a hyphen of its own
             else:
                 out.append((i, ""))
@@ -331,7 +361,7 @@ def joins(lines: list[str], reader: Reader) -> tuple[list[tuple[int, str]], int,
             n = reader.count(whole)
             if n >= KNOWN and n >= RATIO * min(x, y) and (re.search("[가-힣]", whole) or n >= RATIO * max(min(x, y), 1)):
                 out.append((i, "")) 
-                if min(x, y) == 0 or n >= 200 * min(x, y):
+                if not (reader.common(left[0].lower()) and reader.common(r.lower())) or n >= 200 * min(x, y):
                     sure += 1
                 else:
                     maybe += 1
@@ -380,12 +410,8 @@ def repair(text: str, reader: Reader) -> tuple[str, dict[str, int]] | None:
     return made, traces
 
 
-def vocabulary(items: DataFrame) -> dict[str, int]:
-    """Words of all texts, in lower case, that make up at least SHARE of all words, with their counts.
-
-    Counts cover every text.  Not more than 1 / SHARE words can qualify, so the result has
-    a proven bound (500,000 words, about 10 MB) at any size of the corpus.
-    """
+def vocabulary(items: DataFrame) -> tuple[DataFrame, int]:
+    """(word, n): all words of all texts, in lower case, with their exact counts; and the number of all occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -405,8 +431,43 @@ def vocabulary(items: DataFrame) -> dict[str, int]:
     counts = items.select("text").mapInArrow(run, "word string, n bigint").where("length(word) <= 40").groupBy("word").agg(F.sum("n").alias("n"))
     counts = shared_table(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    table = counts.where(F.col("n") >= max(LEAST, total * SHARE)).toArrow()
-    return dict(zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True))
+    return counts, total
+
+
+def _shipped(counts: DataFrame) -> tuple[str, str]:
+    """Names of the files of hashes and counts, which every executor fetches once and maps.
+
+    A word takes 16 bytes, and one partition at a time passes through the driver, so
+    neither the driver nor a worker holds the table.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(c, np.int64).tobytes()], pa.binary()) for c in batch.columns], ["h", "n"])
+
+    folder = Path(tempfile.mkdtemp(prefix="gleanery-words-"))
+    atexit.register(shutil.rmtree, folder, True)
+    name = uuid.uuid4().hex
+    hashes, ns = folder / f"{name}.hashes", folder / f"{name}.counts"
+    packed = counts.select(F.xxhash64("word").alias("h"), "n").orderBy("h").mapInArrow(pack, "h binary, n binary")
+    with hashes.open("wb") as a, ns.open("wb") as b:
+        for row in packed.toLocalIterator():
+            a.write(row["h"])
+            b.write(row["n"])
+    for f in (hashes, ns):
+        counts.sparkSession.sparkContext.addFile(str(f))
+    return hashes.name, ns.name
+
+
+_KEPT: dict[str, Reader] = {}
+
+
+def _reader(hashes: str, counts: str, common: float) -> Reader:
+    """The worker's reader, kept from task to task."""
+    if hashes not in _KEPT:
+        _KEPT.clear()
+        _KEPT[hashes] = Reader(Counts(SparkFiles.get(hashes), SparkFiles.get(counts)), common)
+    return _KEPT[hashes]
 
 
 def repaired(items: DataFrame) -> DataFrame:
@@ -415,8 +476,9 @@ def repaired(items: DataFrame) -> DataFrame:
     ``scanned`` says that the text has traces of page scanning; only then it is changed.
     Null, empty and one-word texts are never scanned and stay as they are.
     """
-    spark = items.sparkSession
-    known = spark.sparkContext.broadcast(vocabulary(items))
+    counts, total = vocabulary(items)
+    hashes, ns = _shipped(counts)
+    common = max(LEAST, total * SHARE)
     names = ["page_numbers", "running_lines", "broken_words", "misread_words"]
     schema = pa.schema([("rec_kind", pa.string()), ("rec_id", pa.string()), ("scanned", pa.bool_()), *((n, pa.int32()) for n in names), ("text", pa.string())])
 
@@ -424,9 +486,10 @@ def repaired(items: DataFrame) -> DataFrame:
         import pyarrow.compute  # noqa: F401
 
         from gleanery.llm.canonical import alike, invisible, sliced
+        from gleanery.llm.scans import _reader  # the module's own, else each task has a copy
 
         table = {ord(k): v for k, v in alike().items() if k not in "｜"} | {c: None for c in invisible() if c != 0xAD}
-        reader = Reader(known.value)
+        reader = _reader(hashes, ns, common)
         unusual = re.compile(r"[^\x09-\x7e\xa1-\xac\xae-\xff가-힣]")
         for batch in batches:
             for piece in sliced(batch, "text"):

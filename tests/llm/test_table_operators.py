@@ -2,6 +2,7 @@
 
 import random
 import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,18 @@ def test_frequent_misreadings_are_misreadings():
     assert reader.word("the") is None and reader.word("arc") is None
 
 
+def test_rare_words_keep_their_counts(spark):
+    texts = ["the req is here and the req is there", "reg reg reg reg reg reg", "판을 관을 관을 été Été", None, ""]
+    df = spark.createDataFrame([("chunk", str(i), t) for i, t in enumerate(texts)], "rec_kind string, rec_id string, text string")
+    assert not any(r["scanned"] for r in scans.repaired(df).collect())  # reg is no 25 times as frequent as req
+    counts, total = scans.vocabulary(df)
+    want = {r["word"]: r["n"] for r in counts.collect()}
+    assert want == Counter(w for t in texts if t for w in t.lower().split()) and total == sum(want.values())
+    hashes, ns = map(scans.SparkFiles.get, scans._shipped(counts))
+    known = scans.Counts(hashes, ns)
+    assert {w: known.get(w) for w in [*want, "absent"]} == want | {"absent": 0}
+
+
 HITS = "eval_id long, chunk_id string, scorer string, score double, rank long"
 
 
