@@ -130,6 +130,71 @@ def _alike(a: str, b: str) -> bool:
     return m.real_quick_ratio() >= FUZZY and m.quick_ratio() >= FUZZY and m.ratio() >= FUZZY
 
 
+class _Keys:
+    """Keys with which a line is compared all at once.
+
+    Matching blocks are a common subsequence, so the longest one bounds the ratio from
+    above: keys that it rules out need no comparison, and no other is left out.  Its
+    length comes from bit operations on all keys of a block, laid side by side.
+    """
+
+    BLOCK = 256
+
+    def __init__(self, keys: list[str]) -> None:
+        self.blocks = []
+        for start in range(0, len(keys), self.BLOCK):
+            part = keys[start : start + self.BLOCK]
+            width = max(map(len, part)) // 8 + 1  # bytes of a key, with a bit for the carry
+            marks: dict[str, bytearray] = {}
+            for n, key in enumerate(part):
+                for at, c in enumerate(key, n * width * 8):
+                    if c not in marks:
+                        marks[c] = bytearray(len(part) * width)
+                    marks[c][at >> 3] |= 1 << (at & 7)
+            bits = {c: int.from_bytes(m, "little") for c, m in marks.items()}
+            full = 0
+            for m in bits.values():
+                full |= m
+            self.blocks.append((start, width, np.array([len(k) for k in part]), bits, full))
+
+    def like(self, key: str) -> list[int]:
+        """The keys that may be alike, in order."""
+        out: list[int] = []
+        for start, width, sizes, bits, full in self.blocks:
+            v = full
+            for c in key:
+                if u := v & bits.get(c, 0):
+                    v = ((v + u) | (v - u)) & full
+            left = np.bitwise_count(np.frombuffer(v.to_bytes(len(sizes) * width, "little"), np.uint8)).reshape(-1, width).sum(axis=1, dtype=np.int64)
+            out += (start + np.flatnonzero(2 * (sizes - left) >= FUZZY * (sizes + len(key)) - 1e-6)).tolist()
+        return out
+
+
+def _groups(lines: list[str], fit: list[int], active: set[int]) -> tuple[list[list[int]], list[str]]:
+    """Lines by the first line that they are like, and the keys of those; every line is compared with all of them.
+
+    Only groups with a line of ``active`` count, so where none of these is like another
+    line, each line is a group of its own.
+    """
+    plain = {i: _plain(lines[i]) for i in fit}
+    times = Counter(plain.values())
+    distinct = list(times)
+    number = {k: n for n, k in enumerate(distinct)}
+    asked = {plain[i] for i in fit if i in active}
+    alone = [[i] for i in fit], [plain[i] for i in fit]
+    if not asked or len(fit) < 2:
+        return alone
+    known = _Keys(distinct)
+    if all(times[k] == 1 for k in asked) and not any(n != number[k] for k in asked for n in known.like(k)):
+        return alone
+    groups: dict[int, list[int]] = {}
+    head: dict[str, int] = {}
+    for i in fit:
+        key = plain[i]
+        if key not in head:
+            head[key] = next((n for n in known.like(key) if n in groups and _alike(key, distinct[n])), number[key])
+        groups.setdefault(head[key], []).append(i)
+    return list(groups.values()), [distinct[n] for n in groups]
 
 
 def _ended(line: str) -> bool:
@@ -151,27 +216,7 @@ def running_lines(lines: list[str], numbers: set[int]) -> set[int]:
             if 0 <= k < len(filled):
                 near.add(filled[k])
     fit = [i for i in filled if i not in numbers and 3 <= len(lines[i].strip("\f \t\r")) <= 90 and len(_plain(lines[i])) >= 2 and not lines[i].rstrip().endswith(("다.", "요."))]
-    # worth comparing: lines at page edges, and lines that share their first or last letters with another one
-    bare = {i: lines[i].strip("\f \t\r") for i in fit}
-    heads, tails = Counter(x[:6] for x in bare.values()), Counter(x[-6:] for x in bare.values())
-    top = lines[filled[0]] + "\n" + (lines[filled[1]] if len(filled) > 1 else "") if filled else ""
-    fit = [i for i in fit if i in near or heads[bare[i][:6]] > 1 or tails[bare[i][-6:]] > 1 or bare[i][:6] in top or bare[i][-6:] in top or bare[i].startswith("==")]
-    groups: list[list[int]] = []
-    keys: list[str] = []
-    grams: dict[str, int] = {}  # six characters -> the first group that has them
-    for i in fit:
-        key = _plain(lines[i])
-        step = max(1, len(key) // 8)
-        met = {grams[x] for j in range(0, max(1, len(key) - 5), step) if (x := key[j : j + 6]) in grams}
-        for n in sorted(met):
-            if _alike(key, keys[n]):
-                groups[n].append(i)
-                break
-        else:
-            for j in range(max(1, len(key) - 5)):
-                grams.setdefault(key[j : j + 6], len(groups))
-            groups.append([i])
-            keys.append(key)
+    groups, keys = _groups(lines, fit, near | {i for i in fit if i not in near and _interrupts(lines, filled, place[i], numbers) and not re.match(r"[a-zà-ÿ]", lines[i].strip("\f \t"))})
     out: set[int] = set()
     for g, key in zip(groups, keys):
         barred = bool(re.fullmatch(r"\s*==\s.*\s==\s*", lines[g[0]].strip("\f")))

@@ -111,6 +111,25 @@ def test_rare_words_keep_their_counts(spark):
     assert {w: known.get(w) for w in [*want, "absent"]} == want | {"absent": 0}
 
 
+def test_running_lines_are_compared_with_all_lines():
+    page = "사업개요\n본 사업은 전산 장비를 새로 들여\n- 1 -\n\f사엄개요\n운영하는 데 필요한 모든 일을\n- 2 -\n\f사업개묘\n기간 안에 끝내는 것이다."
+    lines = page.split("\n")
+    assert {3, 6} <= scans.running_lines(lines, scans.page_numbers(lines))
+    rng = random.Random(4)
+    for _ in range(60):
+        words = ["".join(rng.choice("abcde가나다라") for _ in range(rng.randint(2, 9))) for _ in range(4)]
+        lines = ["".join(c if rng.random() < 0.85 else rng.choice("abc가") for c in " ".join(rng.sample(words, rng.randint(1, 4)))) for _ in range(rng.randint(2, 30))]
+        fit = [i for i, x in enumerate(lines) if len(x) > 2]
+        groups: list = []
+        for i in fit:
+            key = scans._plain(lines[i])
+            own = next((g for g in groups if scans._alike(key, scans._plain(lines[g[0]]))), None)
+            own.append(i) if own else groups.append([i])
+        assert scans._groups(lines, fit, set(fit)) == (groups, [scans._plain(lines[g[0]]) for g in groups])
+        few = set(fit[:2])
+        assert [g for g in scans._groups(lines, fit, few)[0] if len(g) > 1 and few & set(g)] == [g for g in groups if len(g) > 1 and few & set(g)]
+
+
 HITS = "eval_id long, chunk_id string, scorer string, score double, rank long"
 
 
