@@ -21,6 +21,8 @@ from gleanery.storage import shared_table
 
 #: MinHash: hashes and rows per band; character shingles and the similarity of one cluster.
 HASHES, ROWS, SHINGLE, SIMILAR = 32, 2, 3, 0.5
+#: Openings of a band that one task compares with as many others.
+BLOCK = 256
 #: Prompt kinds over which a template recurs, the most that one kind may hold, rows with a word of inability.
 KINDS, MOST, UNABLE = 3, 0.6, 0.5
 #: Share of its occurrences with which a word pair ends a response, where such an end is sound.
@@ -247,31 +249,81 @@ def bands(openings: DataFrame) -> DataFrame:
     return openings.select("opening").mapInPandas(run, "opening string, band string")
 
 
-def clusters(openings: DataFrame, rounds: int = 4) -> DataFrame:
-    """(opening, cluster): each distinct opening with the smallest opening that verified links lead to.
-
-    Every opening is linked to the smallest of each of its bands, so no band emits all its
-    pairs; the smallest labels then travel along the links for a few rounds.
+def _alike(left: list[set[int]], right: list[set[int]]) -> list[tuple[int, int]]:
+    """Index pairs whose Jaccard similarity is at least SIMILAR; common shingles are counted by products of 0/1 matrices."""
+    if len(left) * len(right) <= 64:
+        return [(i, j) for i, s in enumerate(left) for j, t in enumerate(right) if len(s & t) >= SIMILAR * len(s | t)]
+    place = {x: k for k, x in enumerate(set().union(*left) & set().union(*right))}
+    common = np.zeros((len(left), len(right)), np.float32)
+    at = [[(n, place[x]) for n, s in enumerate(side) for x in s if x in place] for side in (left, right)]
+    rows, cols = zip(*(np.array(x, np.int64).reshape(-1, 2).T for x in at))
+    for start in range(0, len(place), 4096):
+        a, b = (np.zeros((len(side), 4096), np.float32) for side in (left, right))
+        for m, r, c in zip((a, b), rows, cols):
+            here = (c >= start) & (c < start + 4096)
+            m[r[here], c[here] - start] = 1
+        common += a @ b.T
+    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+    return [tuple(x) for x in np.argwhere(common >= SIMILAR * (sizes - common)).tolist()]
+
+
+def links(marks: DataFrame) -> DataFrame:
+    """(opening, other): verified links that connect what all verified pairs of band members connect.
+
+    Every pair of a band is verified.  A band is dealt into blocks of about BLOCK
+    openings, and each pair of blocks is a row of its own, so no task needs a whole band;
+    of a row's verified pairs only those that join two of its parts come out.
     """
 
-    def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, set[int]] = {}
         for frame in frames:
-            keep = []
-            for x, y in zip(frame["opening"], frame["other"], strict=True):
-                s, t = _shingles(x), _shingles(y)
-                keep.append(len(s & t) >= SIMILAR * len(s | t))
-            yield frame[keep]
-
-    marks = shared_table(bands(openings))
-    first = marks.groupBy("band").agg(F.min("opening").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = marks.join(first, "band").where("opening <> other").select("opening", "other").distinct()
-    links = shared_table(pairs.mapInPandas(verified, "opening string, other string"))
-    both = links.unionByName(links.select(F.col("other").alias("opening"), F.col("opening").alias("other")))
+            pairs = []
+            for same, low, high in zip(frame["same"], frame["low"], frame["high"], strict=True):
+                sides = [list(low), list(low if same else high)]
+                for text in {*sides[0], *sides[1]} - kept.keys():
+                    kept[text] = _shingles(text)
+                parent = {x: x for x in {*sides[0], *sides[1]}}
+
+                def root(x: str) -> str:
+                    while parent[x] != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                for i, j in _alike(*([kept[x] for x in side] for side in sides)):
+                    x, y = sides[0][i], sides[1][j]
+                    if root(x) != root(y):
+                        parent[root(x)] = root(y)
+                        pairs.append((x, y))
+                if len(kept) > 20_000:
+                    kept.clear()
+            yield pd.DataFrame(pairs, columns=["opening", "other"])
+
+    sizes = marks.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
+    dealt = marks.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("opening"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.expr("sequence(0, k - 1)"))).select("band", "opening", "own", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"))
+    side = lambda of: F.collect_list(F.when(F.col("own") == F.col(of), F.col("opening")))
+    rows = dealt.groupBy("band", "lo", "hi").agg(side("lo").alias("low"), side("hi").alias("high"))
+    return rows.select((F.col("lo") == F.col("hi")).alias("same"), "low", "high").mapInPandas(run, "opening string, other string").distinct()
+
+
+def clusters(openings: DataFrame) -> DataFrame:
+    """(opening, cluster): each distinct opening with the smallest opening that verified links lead to.
+
+    Smallest labels travel along the links, and each label takes its own label's label,
+    until none changes.
+    """
+    found = shared_table(links(shared_table(bands(openings))))
+    both = shared_table(found.unionByName(found.select(F.col("other").alias("opening"), F.col("opening").alias("other"))))
     labels = openings.select("opening", F.col("opening").alias("cluster"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("opening", "other"), "other").groupBy("opening").agg(F.min("cluster").alias("near"))
-        labels = shared_table(labels.join(near, "opening", "left").select("opening", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster")))
-    return labels
+        met = shared_table(labels.join(near, "opening", "left").select("opening", "cluster", F.least("cluster", F.coalesce("near", "cluster")).alias("met")))
+        further = met.select(F.col("opening").alias("met"), F.col("met").alias("further"))
+        moved = shared_table(met.join(further, "met").select("opening", F.least("met", "further").alias("cluster"), (F.least("met", "further") < F.col("cluster")).alias("moved")))
+        labels = moved.select("opening", "cluster")
+        if moved.where("moved").isEmpty():
+            return labels
 
 
 def refusal_templates(pairs: DataFrame) -> DataFrame:

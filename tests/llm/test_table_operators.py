@@ -78,6 +78,32 @@ def test_openings_cluster_by_verified_minhash(spark):
     assert len({got[n] for n in names}) == 1 and len(set(got.values())) == 2
 
 
+def test_every_pair_of_a_band_is_verified(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(8)]
+    for _ in range(14):  # chains: each is like the one before, not like the first
+        texts += ["".join(c if rng.random() < 0.93 else rng.choice("xyz") for c in t) for t in texts[-8:]]
+    texts = sorted(set(texts))
+    shingles = [pairs._shingles(t) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if len(shingles[i] & shingles[j]) >= 0.5 * len(shingles[i] | shingles[j])]
+    assert sorted(pairs._alike(shingles, shingles)) == alike
+    df = spark.createDataFrame([(t,) for t in texts], "opening string")
+    marks = pairs.bands(df).collect()
+    own: dict = {}
+    for m in marks:
+        own.setdefault(m["band"], set()).add(m["opening"])
+    near: dict = {t: {t} for t in texts}
+    for i, j in alike:
+        if any({texts[i], texts[j]} <= b for b in own.values()):
+            near[texts[i]].add(texts[j])
+    want = {t: t for t in texts}
+    while (new := {t: min(want[x] for x in near[t]) for t in texts}) != want:
+        want = new
+    for block in (256, 5):
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        assert {r["opening"]: r["cluster"] for r in pairs.clusters(df).collect()} == want
+
+
 def test_repair_of_scans(spark):
     known = {w: 500 for w in "the contractor shall deliver report every month to project office and keep all records of system maintenance in archive".split()}
     reader = scans.Reader(known)
