@@ -230,6 +230,12 @@ def question_overlap(spark, d):
     return questions.corpus_overlap(_asked(spark, d), _index(spark, d))
 
 
+def question_overlap_all(spark, d):
+    """The overlap of every question; question_overlap is held against SQL over a twentieth of them."""
+    asked = table(spark, d, "eval_rows").select(F.col("eval_id").alias("query_id"), F.col("question").alias("query"))
+    return questions.corpus_overlap(asked, _index(spark, d))
+
+
 def gold_validity(spark, d):
     return questions.valid_gold(table(spark, d, "eval_rows"), table(spark, d, "chunks"))
 
@@ -351,7 +357,7 @@ NAMES = [
     text_normalised, text_clean_block, text_keys, search_tokens, html_text, durations, bm25_corpus_stats, bm25_term_df, bm25_topk, bm25_doc_filtered, dense_topk, dense_filtered,
     hybrid_rrf, hybrid_threshold, hybrid_minmax, reranked, context_budget, last_turns, doc_scope, documents_of_files, retrieval_metrics, answer_bundle, answer_match, harness_summary, report_levels,
     task_outcomes, failure_counts, failures_top, successes, split_baseline, split_oversized, split_section, split_paragraph, chunked_documents, chunk_summary, slim_projection, merged_ids,
-    mock_embedding, quota_sample, sampling_summary, stride_sample, question_filters, question_overlap, gold_validity, headings, heading_paths, section_types, table_shapes, table_continuation,
+    mock_embedding, quota_sample, sampling_summary, stride_sample, question_filters, question_overlap, question_overlap_all, gold_validity, headings, heading_paths, section_types, table_shapes, table_continuation,
     table_row_groups, record_runs, ocr_errors, ocr_fields, ocr_summary, chat_facets, record_chunks, record_table_groups, html_grids, page_events_filled,
 ]
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -152,3 +153,16 @@ def _close(a, b):
 def test_entry_and_names(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(oracles.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_overlap_covers_every_question(spark, data):
+    words = lambda t: set(re.findall("[가-힣a-z0-9]{2,}", (t or "").lower()))
+    known = set().union(*(words(r["body"]) for r in queries._index(spark, data).select("body").collect()))
+    rows = [(r["eval_id"], words(r["question"])) for r in spark.read.parquet(f"{data}/eval_rows.parquet").select("eval_id", "question").collect()]
+    want: dict = {}
+    for key, w in rows:
+        a, b = want.get(key, (0, 0))
+        if w:
+            want[key] = (a + len(w), b + len(w & known))
+    got = {r["query_id"]: (r["n_tokens"], r["n_known"]) for r in queries.queries()["question_overlap_all"](spark, data).collect()}
+    assert got == want and len(got) > 10 * queries.question_overlap(spark, data).count()
