@@ -23,6 +23,8 @@ from gleanery.storage import shared_table
 HASHES, ROWS, SHINGLE, SIMILAR = 32, 2, 3, 0.5
 #: Openings of a band that one task compares with as many others.
 BLOCK = 256
+#: Characters of an opening that are shingled; words are looked for in the whole sentence.
+CLUSTERED = 120
 #: Prompt kinds over which a template recurs, the most that one kind may hold, rows with a word of inability.
 KINDS, MOST, UNABLE = 3, 0.6, 0.5
 #: Share of its occurrences with which a word pair ends a response, where such an end is sound.
@@ -187,8 +189,8 @@ SOUND_END = re.compile(r"[.!?。！？]['\"”’)\]]*$|```$|\|$")
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """What the checks need of each pair; figures are masked in ``opening``, ``rest`` and ``words``."""
-    schema = "eval_id bigint, question_type string, kind string, defect string, opening string, rest array<string>, able boolean, words array<string>, closed boolean"
+    """What the checks need of each pair; figures are masked in ``opening``, ``first``, ``rest`` and ``words``."""
+    schema = "eval_id bigint, question_type string, kind string, defect string, opening string, first string, rest array<string>, able boolean, words array<string>, closed boolean"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -199,8 +201,9 @@ def features(rows: DataFrame) -> DataFrame:
                 while len(parts) > 1 and (re.fullmatch(FILLER, parts[0]) or FILLER.search(parts[0]) and len(parts[0]) < 12):
                     parts = parts[1:]
                 parts = [re.sub(r"^(?:검토 결과|죄송하지만|미안하지만|unfortunately|malheureusement)\W+", "", p, flags=re.I) for p in parts]
-                opening = masked(parts[0])[:120] if parts else ""
-                rest = [masked(p)[:160] for p in parts[1:]]
+                first = masked(parts[0]) if parts else ""
+                opening = first[:CLUSTERED]
+                rest = [masked(p) for p in parts[1:]]
                 defect = None
                 if is_empty(a):
                     defect = "empty"
@@ -214,8 +217,8 @@ def features(rows: DataFrame) -> DataFrame:
                 words = re.sub(r"[\"“”'‘’]", "", text).split()
                 if defect is None and broken_form(a):
                     defect = "truncated"
-                out.append((key, kind, prompt_kind(q), defect, opening, rest, not INABILITY.search(opening), words, bool(SOUND_END.search(a.rstrip()))))
-            yield pd.DataFrame(out, columns=["eval_id", "question_type", "kind", "defect", "opening", "rest", "able", "words", "closed"])
+                out.append((key, kind, prompt_kind(q), defect, opening, first, rest, not INABILITY.search(first), words, bool(SOUND_END.search(a.rstrip()))))
+            yield pd.DataFrame(out, columns=["eval_id", "question_type", "kind", "defect", "opening", "first", "rest", "able", "words", "closed"])
 
     return rows.select("eval_id", "question_type", "question", "answer").mapInPandas(run, schema)
 
@@ -378,7 +381,7 @@ def defects(rows: DataFrame) -> DataFrame:
     filler, says = FILLER.pattern, REFUSAL.pattern
     flags = "(?iu)"
     open_ = pairs.where("defect IS NULL OR defect NOT IN ('empty', 'copy')").join(templates, "opening", "left")
-    declines = F.coalesce("template", F.lit(False)) | F.col("opening").rlike(flags + says)
+    declines = F.coalesce("template", F.lit(False)) | F.col("first").rlike(flags + says)
     hollow = F.forall("rest", lambda s: s.rlike(flags + filler) | s.rlike(flags + says))
     refused = open_.where(declines & hollow & (F.length("opening") > 0)).where("question_type IS NULL OR question_type <> 'unanswerable'").select("eval_id", F.lit(True).alias("refused"))
     cut = unsound_ends(pairs.where("defect IS NULL OR defect NOT IN ('empty', 'copy')")).where("cut").select("eval_id", "cut")

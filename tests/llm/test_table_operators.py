@@ -78,6 +78,12 @@ def test_openings_cluster_by_verified_minhash(spark):
     assert len({got[n] for n in names}) == 1 and len(set(got.values())) == 2
 
 
+def test_refusals_that_end_a_long_sentence(spark):
+    long = "제안요청서의 여러 장과 별지 서식 그리고 첨부된 기술 문서를 차례대로 " * 4
+    rows = [(1, "fact", "지역 제한이 있습니까?", long + "살펴보아도 해당 내용을 찾을 수 없습니다."), (2, "fact", "지역 제한이 있습니까?", "해당 내용을 찾을 수 없습니다. " + long + "보았지만 답변을 드릴 수 없습니다.")]
+    assert {r["eval_id"]: r["defect"] for r in pairs.defects(spark.createDataFrame(rows, QA)).collect()} == {1: "refusal", 2: "refusal"}
+
+
 def test_every_pair_of_a_band_is_verified(spark, monkeypatch):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(8)]
