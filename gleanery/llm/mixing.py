@@ -1,8 +1,8 @@
 """Mixing sources to target shares of the tokens.
 
 Budgets run down a tree domain - language - source in proportion to the target shares; a
-source's share is split over the languages of its documents by their tokens, so it has a
-leaf in each.  What a leaf cannot fill with its documents, each used at most
+source's domain is the agency that most of its tokens come from, and its share is split
+over the languages of its documents by their tokens, so it has a leaf in each.  What a leaf cannot fill with its documents, each used at most
 ``max_repeats`` times, goes to its siblings first, then to its language's and its
 domain's siblings.  A target without documents is a leaf without room.  Each leaf's
 budget is then filled from seeded epochs: whole epochs, and of the last one the first
@@ -12,6 +12,7 @@ documents of its shuffled order.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -79,11 +80,6 @@ def _leaves(node: Node) -> list[Node]:
     return [x for c in node.children for x in _leaves(c)] if node.children else [node]
 
 
-def domain(source):
-    """The domain of a source by default: what follows the last underscore of its name."""
-    return F.regexp_extract(source, "([^_]*)$", 1)
-
-
 def language(lang):
     """One code per language from codes of varying form."""
     code = F.substring(F.lower(F.trim(lang)), 1, 2)
@@ -98,43 +94,55 @@ def largest_total(rows: list[dict]) -> int:
     return int(min((r["room"] / parts[r["domain"], r["lang"], r["source"]] for r in rows if r["room"]), default=0))
 
 
+def whole_supply(rows: list[dict]) -> int:
+    """The tokens of all documents used once: sources whose share of it exceeds their repeats fall short."""
+    return int(sum(r["tokens"] for r in rows))
+
+
 def _placed(root: Node) -> dict[tuple[str, str, str], Node]:
     """The leaves by domain, language and source."""
     return {(d.name, x.name, s.name): s for d in root.children for x in d.children for s in x.children}
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, tokenizer: str = "byte_bpe_50k", domain=domain) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total: int | Callable[[list[dict]], int] = largest_total, seed: int = 7, tokenizer: str = "byte_bpe_50k", domains: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, n_tokens, times) and the shares (one row per target source).
 
-    ``total`` is the size of the mix in tokens; by default the largest at which every
-    source that has documents reaches its share within its repeats.  ``targets`` is a
-    table of settings, one row per source; only it, and one row per source and language
-    of totals, come to the driver.  ``domain`` gives the domain of a source column.
-    Sources without target, null sources, and documents without tokens are left out; a
-    source without documents passes its share to its domain's other sources, or if there
-    are none, to all; repeated rows
-    of a source in ``targets`` count once, with the largest share.  The last document is
-    taken only if that brings the source nearer to its budget.
+    ``total`` is the size of the mix in tokens, or a function of the leaves; by default the
+    largest at which every source that has documents reaches its share within its repeats.
+    ``targets`` is a table of settings, one row per source; it, ``domains`` (source, domain)
+    for these sources, and one row per source and language of totals come to the driver.
+    Sources that ``domains`` lacks have the ``metadata['agency']`` of most of their tokens
+    as domain, or none.  Sources without target, null sources, and
+    documents without tokens are left out; a source without documents passes its share to
+    its domain's other sources, or if there are none, to all; repeated rows of a source in
+    ``targets`` count once, with the largest share.  The last document is taken only if
+    that brings the source nearer to its budget.
     """
     spark = documents.sparkSession
     wanted = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    goals = {r["source"]: r for r in wanted.withColumn("domain", domain(F.col("source"))).collect()}
-    sized = token_counts(documents.where(F.col("source").isin(list(goals))), ["doc_id", "source", "lang"], tokenizer=tokenizer).where("n_tokens > 0 AND doc_id IS NOT NULL")
+    goals = {r["source"]: r for r in wanted.collect()}
+    listed = {r["source"]: r["domain"] for r in domains.where(F.col("source").isin(list(goals)) & F.col("domain").isNotNull()).groupBy("source").agg(F.min("domain").alias("domain")).collect()} if domains is not None else {}
+    agency = F.col("metadata")["agency"] if "metadata" in documents.columns else F.lit(None).cast("string")
+    sized = token_counts(documents.where(F.col("source").isin(list(goals))).withColumn("agency", agency), ["doc_id", "source", "lang", "agency"], tokenizer=tokenizer).where("n_tokens > 0 AND doc_id IS NOT NULL")
     sized = shared_table(sized.withColumn("lang", language(F.col("lang"))))
     facts = sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()  # a row per target and language
+    by_agency = sized.groupBy("source", "agency").agg(F.sum("n_tokens").alias("tokens"))
+    top = by_agency.where("agency <> ''").groupBy("source").agg(F.max_by("agency", F.struct("tokens", "agency")).alias("domain"))
+    leading = {r["source"]: r["domain"] for r in top.collect()} | listed  # a row per target
     have: dict[str, list] = {}
     for f in sorted(facts, key=lambda f: (f["source"], f["lang"])):
         have.setdefault(f["source"], []).append(f)
 
     rows = []
     for s, goal in sorted(goals.items()):
+        own = {"domain": leading.get(s, ""), "source": s}
         whole = sum(f["tokens"] for f in have.get(s, []))
         for f in have.get(s, []):
-            rows.append({"domain": goal["domain"], "lang": f["lang"], "source": s, "weight": goal["target_share"] * f["tokens"] / whole, "room": float(f["tokens"] * goal["max_repeats"])})
+            rows.append(own | {"lang": f["lang"], "weight": goal["target_share"] * f["tokens"] / whole, "tokens": f["tokens"], "room": float(f["tokens"] * goal["max_repeats"])})
         if s not in have:
-            rows.append({"domain": goal["domain"], "lang": "", "source": s, "weight": goal["target_share"], "room": 0.0})
+            rows.append(own | {"lang": "", "weight": goal["target_share"], "tokens": 0, "room": 0.0})
     root = tree(rows)
-    spread(root, float(largest_total(rows) if total is None else total))
+    spread(root, float(total(rows) if callable(total) else total))
     leaves = {(s, lang): x.budget for (_, lang, s), x in _placed(root).items()}
     budgets = {s: sum(x for (name, _), x in leaves.items() if name == s) for s in goals}
 
@@ -155,7 +163,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
 
     reached = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.sum("times").alias("uses"), F.count(F.lit(1)).alias("documents"))
     most = {s: max(fs, key=lambda f: (f["tokens"], f["lang"]))["lang"] for s, fs in have.items()}
-    told = [(s, goals[s]["domain"] if s in have else None, most.get(s), float(goals[s]["target_share"]), int(goals[s]["max_repeats"]), float(budgets[s])) for s in sorted(goals)]
+    told = [(s, leading.get(s), most.get(s), float(goals[s]["target_share"]), int(goals[s]["max_repeats"]), float(budgets[s])) for s in sorted(goals)]
     told = spark.createDataFrame(told, "source string, domain string, lang string, target_share double, max_repeats int, budget double")
     whole = reached.agg(F.sum("tokens").alias("all"))
     shares = told.join(reached, "source", "left").crossJoin(F.broadcast(whole))  # one row

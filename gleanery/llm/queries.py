@@ -80,6 +80,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_scarce(spark: SparkSession, d: str) -> DataFrame:
+    """Shares where the mix is as large as all documents of the targets: scarce sources fall short, their siblings take the rest."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), total=mixing.whole_supply)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents"))
 
@@ -93,5 +98,5 @@ def p10_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [p1_found, p1_packed, p1_chunks, p2_found, p2_records, p3_found, p3_canonical, p4_found, p5_found, p5_repaired, p6_found, p6_pieces, p7_ranking, p8_ids, p9_mix, p9_shares, p10_found, p10_shares, p10_bands]
+    named = [p1_found, p1_packed, p1_chunks, p2_found, p2_records, p3_found, p3_canonical, p4_found, p5_found, p5_repaired, p6_found, p6_pieces, p7_ranking, p8_ids, p9_mix, p9_shares, p9_scarce, p10_found, p10_shares, p10_bands]
     return {f.__name__: f for f in named}

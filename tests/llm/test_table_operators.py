@@ -218,14 +218,53 @@ def test_mix_passes_shortages_to_siblings(spark):
     df = spark.createDataFrame(docs, "doc_id long, source string, lang string, text string")
     goals = spark.createDataFrame([("a_x", 0.3, 1), ("b_x", 0.2, 2), ("c_y", 0.4, 1), ("gone_y", 0.1, 1)], "source string, target_share double, max_repeats int")
     each = mixing.token_counts(df.limit(1), ["doc_id"]).first()["n_tokens"]
-    got = {r["source"]: r for r in mixing.mix(df, goals, total=600 * each)[1].collect()}
+    domains = spark.createDataFrame([(s, s[-1]) for s in ("a_x", "b_x", "c_y", "gone_y", "none_z")], "source string, domain string")
+    got = {r["source"]: r for r in mixing.mix(df, goals, total=600 * each, domains=domains)[1].collect()}
     # a_x lacks 170 documents, b_x of its domain gets them; gone_y has none, c_y of its domain gets them
     assert {s: round(r["budget"] / each) for s, r in got.items()} == {"a_x": 10, "b_x": 290, "c_y": 300, "gone_y": 0}
     # within b_x the rest of a_x goes to its Korean documents, not to the English ones
-    chosen = mixing.mix(df, goals, total=600 * each)[0].where("source = 'b_x'").join(df.select("doc_id", "lang"), "doc_id")
+    chosen = mixing.mix(df, goals, total=600 * each, domains=domains)[0].where("source = 'b_x'").join(df.select("doc_id", "lang"), "doc_id")
     assert {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.sum("times").alias("n")).collect()} == {"ko": 230, "en": 60}
 
 
+def _poured(nodes: list[dict], total: float, levels: tuple[str, ...]) -> dict[str, float]:
+    """Budgets of leaves by filling each level in small drops, always where the level stands lowest."""
+    if not levels:
+        return {nodes[0]["source"] + "/" + nodes[0]["lang"]: total}
+    groups: dict[str, list[dict]] = {}
+    for n in nodes:
+        groups.setdefault(n[levels[0]], []).append(n)
+    weight = {g: sum(n["weight"] for n in ns) for g, ns in groups.items()}
+    room = {g: sum(n["room"] for n in ns) for g, ns in groups.items()}
+    low, high = 0.0, 1e12
+    for _ in range(200):  # the level at which all open parts together hold the total
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(room[g], level * weight[g]) for g in groups) < min(total, sum(room.values())) else (low, level)
+    out: dict[str, float] = {}
+    for g, ns in groups.items():
+        out |= _poured(ns, min(room[g], high * weight[g]), levels[1:])
+    return out
+
+
+def test_scarce_budgets_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(30):
+        rows = [dict(domain=rng.choice("de"), lang=rng.choice(["ko", "en"]), source=f"s{i}", weight=rng.random(), tokens=t, room=float(t * rng.randint(1, 4))) for i in range(8) if (t := rng.choice([0, 5, 50, 500, 5000])) is not None]
+        root = mixing.tree(rows)
+        mixing.spread(root, float(mixing.whole_supply(rows)))
+        got = {s + "/" + lang: x.budget for (_, lang, s), x in mixing._placed(root).items()}
+        want = _poured(rows, float(mixing.whole_supply(rows)), ("domain", "lang", "source"))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in got)
+
+
+def test_domains_are_the_agencies_of_most_tokens(spark):
+    docs = [(i, s, "ko", "w " * n, {"agency": a} if a else None) for i, (s, n, a) in enumerate([("a", 50, "x"), ("a", 10, "y"), ("b", 9, "x"), ("b", 500, None), ("c", 80, "z"), ("c", 5, "x")])]
+    df = spark.createDataFrame(docs, "doc_id long, source string, lang string, text string, metadata map<string,string>")
+    goals = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 1), ("c", 0.3, 1), ("d", 0.1, 1)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r["domain"] for r in mixing.mix(df, goals, total=mixing.whole_supply)[1].collect()}
+    assert got == {"a": "x", "b": "x", "c": "z", "d": None}
+
+
 def test_every_query_runs(spark, data):
     for name, query in queries.queries().items():
         assert query(spark, data).limit(1_000_000).count() >= 0, name
