@@ -1,8 +1,11 @@
 """Defective pairs of prompt and response, with the type of the defect.
 
-Openings of responses are clustered by MinHash over their characters, each link verified
-by the Jaccard similarity of the shingle sets.  A cluster that recurs across unrelated
-prompts is a template; with a word of inability in it, it is a refusal.  Copies, languages
+Openings of responses, and their sentences with a word of inability, are clustered by
+MinHash over their characters, figures and the prompt's own words masked; each link is
+verified by the Jaccard similarity of the shingle sets.  A cluster that recurs across
+unrelated prompts is a template, and if its members mostly say an inability, it reveals
+refusals.  Wordings too rare to recur are held against the templates: their shingles'
+odds, learned from template sentences and all other sentences, decide.  Copies, languages
 and terminations are checked on the pair itself and on counts over all responses: how
 often a response's last words end a response, and how often they stand further inside.
 """
@@ -23,32 +26,24 @@ from gleanery.storage import shared_table
 HASHES, ROWS, SHINGLE, SIMILAR = 32, 2, 3, 0.5
 #: Openings of a band that one task compares with as many others.
 BLOCK = 256
-#: Characters of an opening that are shingled; words are looked for in the whole sentence.
-CLUSTERED = 120
 #: Prompt kinds over which a template recurs, the most that one kind may hold, rows with a word of inability.
 KINDS, MOST, UNABLE = 3, 0.6, 0.5
+#: What is added to the shares of a shingle, and the mean log odds beyond which a rare sentence, or its end of so many characters, is worded like a template.
+ROUNDED, LIKE, LIKE_END, END = 0.01, -0.5, 0.5, 20
 #: Share of its occurrences with which a word pair ends a response, where such an end is sound.
 ENDS = 0.15
 
 # Words of inability or absence, by language.
 INABILITY = re.compile(
-    r"없(?:습|어|네|다|음|는|으)|않(?:습|네|아|는|음)|못|불가|어렵|삼가|모르|알지|권한이|미안|죄송|양해"
+    r"없(?:습|어|네|다|음|는|으)|않|못|불가|어렵|삼가|모르|알지|권한이|미안|죄송|양해"
     r"|\b(?:not|no|nothing|none|unable|cannot|can't|couldn't|don't|doesn't|isn't|sorry|impossible)\b"
     r"|\b(?:ne|n'|pas|aucun|aucune|impossible|désolé|sans)\b|n'|\b(?:nicht|kein|keine|leider)\b|\bno puedo\b|できません|ありません|无法|没有",
     re.I,
 )
-# What a refusal says, by language; used beside the templates, which small tables may lack.
-REFUSAL = re.compile(
-    r"(?:답변|답|안내|판단|확인|말씀)\S*\s?(?:을|를|이|은|는|에)?\s?\S{0,6}\s?(?:드릴|드리기|할|생성할|제공|불가|삼가)\S*\s?(?:수 없|어렵|하지 않|불가|겠)"
-    r"|(?:찾을|알|확인할|판단할|도와드릴|말씀드릴|드릴|생성할) 수 없(?:습니다|는 점|네요|어요)|확인 불가|확인되지 않습니다|존재하지 않습니다|나오지 않습니다|기재되어 있지 않|알지 못합니다|알려진 바가 없|명시된 바가 없|권한이 없습니다|이야기가 없네요|제공하지 않습니다|응하지 않|답하지 않"
-    r"|\b(?:I'm sorry|I am sorry|unable to|cannot (?:answer|help|determine|provide|assist|find)|can't (?:answer|help|tell|say|find)|don't know|do not know|no (?:relevant|such) (?:passage|information|document)|does not contain|do not have access|not enough (?:evidence|information|context)|could not find|not able to|nothing about)\b"
-    r"|\b(?:désolé|impossible de|ne (?:peux|figure|permet|contien|sai|trouv|mentionn)|n'ai pas|ne suis pas en mesure|aucun(?:e)? (?:élément|information|passage|document))",
-    re.I,
-)
 # Greetings, apologies and offers around a refusal.
+GREETING = re.compile(r"^(?:안녕하세요|검토 결과|죄송합니다|죄송하지만|미안합니다|감사합니다|hello|hi|bonjour|sorry|thank you|merci)?\W*$", re.I)
 FILLER = re.compile(
-    r"^(?:안녕하세요|검토 결과|죄송합니다|죄송하지만|미안합니다|감사합니다|hello|hi|bonjour|sorry|thank you|merci)\W*$"
-    r"|다른 질문|문의해 주|다시 확인해|도움이 되지 못해|양해 (?:바랍|부탁)|자료를 (?:올려|보내|공유)|please (?:contact|check|consult|ask|provide|upload)|could you (?:share|provide|upload)|another (?:file|question)|let me know|veuillez|n'hésitez|pourriez-vous",
+    r"다른 질문|문의해 주|다시 확인해|도움이 되지 못해|양해 (?:바랍|부탁)|자료를 (?:올려|보내|공유)|please (?:contact|check|consult|ask|provide|upload)|could you (?:share|provide|upload)|another (?:file|question)|let me know|veuillez|n'hésitez|pourriez-vous",
     re.I,
 )
 # Responses without content.
@@ -115,6 +110,24 @@ def sentences(text: str) -> list[str]:
     return [s for s in (p.strip() for p in re.split(r"(?<=[.!?。])(?<!\d\.)\s+|\n+", text)) if s]
 
 
+# Words before what a sentence says.
+LEAD = re.compile(r"^(?:검토 결과|죄송하지만|미안하지만|unfortunately|malheureusement|désolé|(?:i'm |i am )?sorry)\W+(?:but )?", re.I)
+
+
+def starred(question: str, sentence: str) -> str:
+    """The sentence with the prompt's words, also with a Korean ending of up to two letters, as *."""
+    have = set(_words(question))
+    out: list[str] = []
+    for token in sentence.split():
+        w = "".join(_words(token))
+        known = w in have or re.search("[가-힣]", w) and any(w[: len(w) - n] in have for n in (1, 2) if len(w) - n > 1)
+        if not w or not known:
+            out.append(token)
+        elif out[-1:] != ["*"]:
+            out.append("*")
+    return " ".join(out)
+
+
 def prompt_kind(question: str) -> str:
     """What a prompt asks, without its subject: its last words in Korean, its first words otherwise."""
     words = masked(re.sub(r"[?？!.]+", " ", question)).split()
@@ -189,22 +202,20 @@ SOUND_END = re.compile(r"[.!?。！？]['\"”’)\]]*$|```$|\|$")
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """What the checks need of each pair; figures are masked in ``opening``, ``first``, ``rest`` and ``words``."""
-    schema = "eval_id bigint, question_type string, kind string, defect string, opening string, first string, rest array<string>, able boolean, words array<string>, closed boolean"
+    """What the checks need of each pair; figures are masked in ``units`` and ``words``.
+
+    ``units`` are the response's sentences without greetings: text with the prompt's words
+    masked, whether it says an inability, and whether it only surrounds a refusal.
+    """
+    unit = "array<struct<text: string, unable: boolean, filler: boolean>>"
+    schema = f"eval_id bigint, question_type string, kind string, defect string, units {unit}, words array<string>, closed boolean"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for key, kind, q, a in frame.itertuples(index=False):
                 q, a = _clean(q), _clean(a)
-                parts = sentences(a)
-                while len(parts) > 1 and (re.fullmatch(FILLER, parts[0]) or FILLER.search(parts[0]) and len(parts[0]) < 12):
-                    parts = parts[1:]
-                parts = [re.sub(r"^(?:검토 결과|죄송하지만|미안하지만|unfortunately|malheureusement)\W+", "", p, flags=re.I) for p in parts]
-                first = masked(parts[0]) if parts else ""
-                opening = first[:CLUSTERED]
-                rest = [masked(p) for p in parts[1:]]
-                defect = None
+                defect, units = None, []
                 if is_empty(a):
                     defect = "empty"
                 elif is_copy(q, a):
@@ -213,12 +224,15 @@ def features(rows: DataFrame) -> DataFrame:
                     ql, al = language(q), language(a)
                     if al and ql and al != ql and not ASKED.search(q) and not ("latin" in (al, ql) and "ko" not in (al, ql)):
                         defect = "wrong_language"
-                text = masked(a)
-                words = re.sub(r"[\"“”'‘’]", "", text).split()
-                if defect is None and broken_form(a):
-                    defect = "truncated"
-                out.append((key, kind, prompt_kind(q), defect, opening, first, rest, not INABILITY.search(first), words, bool(SOUND_END.search(a.rstrip()))))
-            yield pd.DataFrame(out, columns=["eval_id", "question_type", "kind", "defect", "opening", "first", "rest", "able", "words", "closed"])
+                    elif broken_form(a):
+                        defect = "truncated"
+                    for part in sentences(a):
+                        text = LEAD.sub("", masked(part))
+                        if not GREETING.match(text):
+                            units.append({"text": starred(q, text), "unable": bool(INABILITY.search(text)), "filler": bool(FILLER.search(text))})
+                words = re.sub(r"[\"“”'‘’]", "", masked(a)).split()
+                out.append((key, kind, prompt_kind(q), defect, units, words, bool(SOUND_END.search(a.rstrip()))))
+            yield pd.DataFrame(out, columns=["eval_id", "question_type", "kind", "defect", "units", "words", "closed"])
 
     return rows.select("eval_id", "question_type", "question", "answer").mapInPandas(run, schema)
 
@@ -329,15 +343,41 @@ def clusters(openings: DataFrame) -> DataFrame:
             return labels
 
 
-def refusal_templates(pairs: DataFrame) -> DataFrame:
-    """(opening): openings of clusters that recur across unrelated prompts and mostly say an inability."""
-    counts = shared_table(pairs.groupBy("opening", "kind").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("able").cast("int")).alias("able")))
-    labels = clusters(counts.select("opening").where("opening <> ''").distinct())
-    placed = counts.join(labels, "opening")
-    kinds = placed.groupBy("cluster", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (1 - F.col("able"))).alias("unable"))
+def refusal_templates(counts: DataFrame) -> DataFrame:
+    """(text): sentences of clusters that recur across unrelated prompts and mostly say an inability.
+
+    ``counts``: text, kind, n, unable, opens.  A sentence of one word is an answer, not a
+    template.
+    """
+    asked = counts.where("(opens OR unable) AND text LIKE '%_ _%'")
+    labels = clusters(asked.select("text").distinct().withColumnRenamed("text", "opening")).withColumnRenamed("opening", "text")
+    placed = counts.join(labels, "text")
+    kinds = placed.groupBy("cluster", "kind").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("unable"), F.col("n")).otherwise(0)).alias("unable"))
     whole = kinds.groupBy("cluster").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("unable").alias("unable"))
     good = whole.where((F.col("kinds") >= KINDS) & (F.col("most") <= MOST * F.col("n")) & (F.col("unable") >= UNABLE * F.col("n"))).select("cluster")
-    return labels.join(good, "cluster", "left_semi").select("opening")
+    return labels.join(good, "cluster", "left_semi").select("text")
+
+
+def refusing(counts: DataFrame) -> DataFrame:
+    """(text): sentences of the templates, and rare ones with a word of inability that are worded like them.
+
+    A shingle's odds are the share of template sentences that have it against the share of
+    other sentences, ROUNDED added to both, so what is rare on both sides says little at any
+    size of the table; a rare sentence is like the templates if the mean log odds of its
+    shingles are above LIKE, or above LIKE_END in its last END characters, where Korean
+    has the verb.
+    """
+    templates = shared_table(refusal_templates(counts))
+    told = counts.groupBy("text").agg(F.bool_or("unable").alias("unable")).join(templates.withColumn("known", F.lit(1)), "text", "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    told = shared_table(told)
+    cut = F.expr(f"array_distinct(transform(sequence(1, greatest(1, length(text) - {SHINGLE - 1})), i -> substring(text, i, {SHINGLE})))")
+    shingles = told.select("known", F.explode(cut).alias("s")).groupBy("s").agg(F.sum("known").alias("r"), F.sum(1 - F.col("known")).alias("m"))
+    sizes = told.agg(F.sum("known").alias("rs"), F.sum(1 - F.col("known")).alias("ms"))
+    odds = shingles.crossJoin(F.broadcast(sizes)).select("s", F.log((F.try_divide("r", "rs") + ROUNDED) / (F.coalesce(F.try_divide("m", "ms"), F.lit(0.0)) + ROUNDED)).alias("o"))  # one row of sizes
+    rare = told.where("unable AND known = 0 AND text LIKE '%_ _%'")
+    parts = rare.select(F.lit(LIKE).alias("least"), F.col("text").alias("whole"), "text").unionByName(rare.select(F.lit(LIKE_END).alias("least"), F.col("text").alias("whole"), F.right("text", F.lit(END)).alias("text")))
+    like = parts.select("whole", "least", F.explode(cut).alias("s")).join(odds, "s").groupBy("whole", "least").agg(F.avg("o").alias("o")).where("o > least").select(F.col("whole").alias("text")).distinct()
+    return templates.unionByName(like)
 
 
 def unsound_ends(pairs: DataFrame) -> DataFrame:
@@ -354,8 +394,10 @@ def unsound_ends(pairs: DataFrame) -> DataFrame:
     two = words.select(F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> named_struct('p', w[i - 1], 't', w[i], 'e', int(i = size(w) - 1 and not closed)))")).alias("x")).select("x.*")
     two = shared_table(two.groupBy("p", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("e")))
 
+    lengths = two.where("e > 0").agg(F.collect_set(F.length("t")).alias("lengths"))  # one row: the lengths of words that end a response
+
     def figures(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-        longer = counts.where("length(t) > 1").withColumn("t", F.explode(F.expr("transform(sequence(1, least(length(t) - 1, 24)), i -> left(t, i))")))
+        longer = counts.where("length(t) > 1").crossJoin(F.broadcast(lengths)).withColumn("t", F.explode(F.expr("transform(filter(lengths, i -> i < length(t)), i -> left(t, i))")))
         longer = longer.groupBy(*keys).agg(F.sum("n").alias("x"))
         ends = counts.where("e > 0")
         return ends.join(longer, keys, "left").select(*keys, F.struct(F.col("e"), (F.col("n") + F.coalesce("x", F.lit(0))).alias("all")).alias(name))
@@ -377,15 +419,13 @@ def defects(rows: DataFrame) -> DataFrame:
     Empty tables give an empty result; null ids stay null.
     """
     pairs = shared_table(features(rows))
-    templates = refusal_templates(pairs.where("defect IS NULL OR defect NOT IN ('empty', 'copy')")).withColumn("template", F.lit(True))
-    filler, says = FILLER.pattern, REFUSAL.pattern
-    flags = "(?iu)"
-    open_ = pairs.where("defect IS NULL OR defect NOT IN ('empty', 'copy')").join(templates, "opening", "left")
-    declines = F.coalesce("template", F.lit(False)) | F.col("first").rlike(flags + says)
-    hollow = F.forall("rest", lambda s: s.rlike(flags + filler) | s.rlike(flags + says))
-    refused = open_.where(declines & hollow & (F.length("opening") > 0)).where("question_type IS NULL OR question_type <> 'unanswerable'").select("eval_id", F.lit(True).alias("refused"))
-    cut = unsound_ends(pairs.where("defect IS NULL OR defect NOT IN ('empty', 'copy')")).where("cut").select("eval_id", "cut")
-    refused, cut = refused.distinct(), cut.distinct()
+    open_ = pairs.where("defect IS NULL OR defect NOT IN ('empty', 'copy')")
+    said = open_.select("eval_id", "question_type", "kind", F.posexplode("units").alias("at", "unit")).select("eval_id", "question_type", "kind", "at", "unit.*")
+    counts = shared_table(said.groupBy("text", "kind").agg(F.count(F.lit(1)).alias("n"), F.bool_or("unable").alias("unable"), F.bool_or(F.col("at") == 0).alias("opens")))
+    declines = said.join(refusing(counts).withColumn("declines", F.lit(True)), "text", "left").withColumn("declines", F.coalesce("declines", F.lit(False)))
+    hollow = declines.where("question_type IS NULL OR question_type <> 'unanswerable'").groupBy("eval_id").agg(F.bool_or("declines").alias("some"), F.bool_and(F.col("declines") | F.col("filler")).alias("refused"))
+    refused = hollow.where("some AND refused").select("eval_id", "refused")
+    cut = unsound_ends(open_).where("cut").select("eval_id", "cut").distinct()
     sure = pairs.join(refused, "eval_id", "left").join(cut, "eval_id", "left")
     found = F.when(F.col("defect").isin("empty", "copy"), F.col("defect")).when(F.col("refused"), F.lit("refusal")).when(F.col("defect").isNotNull(), F.col("defect")).when(F.col("cut"), F.lit("truncated"))
     return sure.select("eval_id", found.alias("defect")).where("defect IS NOT NULL")

@@ -48,6 +48,14 @@ def test_packing_of_tables(spark):
 QA = "eval_id long, question_type string, question string, answer string"
 
 
+# refusals recur across unrelated prompts, which is what reveals them
+RECURRING = [
+    (1000 + 10 * i + j, "fact", q, a)
+    for i, a in enumerate(["제공된 문서에서 관련 내용을 찾을 수 없습니다.", "해당 내용은 문서에서 확인할 수 없습니다.", "이 질문에는 답변을 드릴 수 없습니다.", "No relevant document was found.", "No such passage was found."])
+    for j, q in enumerate(["공사 기간은 며칠입니까?", "보증금은 얼마인가요?", "Who signs the form?", "When does the trial start?"])
+]
+
+
 def test_defects(spark):
     kinds = ["Where is the {} installed?", "What documents does {} ask for?", "How long is the warranty on {}?", "Who approves changes to {}?"]
     rows, want = [], {}
@@ -66,8 +74,8 @@ def test_defects(spark):
         rows.append((k, kind, q, a))
         if d:
             want[k] = d
-    df = spark.createDataFrame(rows, QA)
-    assert {r["eval_id"]: r["defect"] for r in pairs.defects(df).collect()} == want
+    df = spark.createDataFrame(rows + RECURRING, QA)
+    assert {r["eval_id"]: r["defect"] for r in pairs.defects(df).collect()} == want | {r[0]: "refusal" for r in RECURRING}
     assert pairs.defects(df.limit(0)).count() == 0
 
 
@@ -81,7 +89,33 @@ def test_openings_cluster_by_verified_minhash(spark):
 def test_refusals_that_end_a_long_sentence(spark):
     long = "제안요청서의 여러 장과 별지 서식 그리고 첨부된 기술 문서를 차례대로 " * 4
     rows = [(1, "fact", "지역 제한이 있습니까?", long + "살펴보아도 해당 내용을 찾을 수 없습니다."), (2, "fact", "지역 제한이 있습니까?", "해당 내용을 찾을 수 없습니다. " + long + "보았지만 답변을 드릴 수 없습니다.")]
-    assert {r["eval_id"]: r["defect"] for r in pairs.defects(spark.createDataFrame(rows, QA)).collect()} == {1: "refusal", 2: "refusal"}
+    sound = [(2000 + i, "fact", "무엇을 제출합니까?", f"제출 서류는 {a} {b} {i}부이다.") for i, (a, b) in enumerate((a, b) for a in ("서약서와", "확약서와", "명세서와", "위임장과", "도면과", "각서와", "견적서와") for b in ("사진", "통장 사본", "계획", "원본", "신청서", "등본"))]
+    got = pairs.defects(spark.createDataFrame(rows + RECURRING + sound, QA)).where("eval_id < 1000").collect()
+    assert {r["eval_id"]: r["defect"] for r in got} == {1: "refusal", 2: "refusal"}
+
+
+def test_minhash_links_find_what_brute_force_finds(spark, data):
+    pool = sorted({u["text"] for r in pairs.features(spark.read.parquet(f"{data}/../sf0.01/eval_rows.parquet")).collect() for u in r["units"][:1]})
+    shingles = [pairs._shingles(t) for t in pool]
+    true = {(pool[i], pool[j]) for i in range(len(pool)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.5 * len(shingles[i] | shingles[j])}
+    own: dict = {}
+    for m in pairs.bands(spark.createDataFrame([(t,) for t in pool], "opening string")).collect():
+        own.setdefault(m["opening"], set()).add(m["band"])
+    met = sum(bool(own[a] & own[b]) for a, b in true)
+    assert len(true) > 50 and met >= 0.97 * len(true)
+
+
+def test_masked_words_of_the_prompt():
+    assert pairs.starred("Where is the archive unit?", "the archive unit is in hall #") == "* in hall #"
+    assert pairs.starred("보안 장비의 수량은?", "보안 장비의 수량은 #대이다") == "* #대이다"
+    assert pairs.starred("", "no such text") == "no such text"
+
+
+def test_ends_of_any_length(spark):
+    long = "x" * 40
+    rows = [(i, "fact", "What is it?", f"It is the {long}") for i in range(12)] + [(50 + i, "fact", "What is it?", f"It is the {long}{i}tail of it.") for i in range(200)]
+    got = pairs.unsound_ends(pairs.features(spark.createDataFrame(rows, QA))).where("cut").collect()
+    assert {r["eval_id"] for r in got} == set(range(12))
 
 
 def test_every_pair_of_a_band_is_verified(spark, monkeypatch):
