@@ -45,15 +45,53 @@ def requirement_ids(q: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\s+", "")))
 
 
-def corpus_overlap(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, n_tokens, n_known): distinct word tokens of each question, and how many of them the corpus has as words.
+# Phrases, wordings and ids that tie a question to the document at hand.
+FORBIDDEN = "총 사업비,총 계약,총액,총 사업,사업비,계약금,소요예산,입찰보증,사업기간,개발기간,용역기간,계약 기간,주관기관,발주기관,수요기관,이 사업,본 사업,해당 사업,본 제안,이 문서,본 문서,제안요청서,별지 제,요구사항 명칭,요구사항 번호".split(",")
+SCOPED = r"(이|본|해당)\s*(사업|문서|제안|계약|용역|공고|과업|사업의)"
+SCOPED_ID = r"\b(?:SFR|PMR|DAR|ECR|SER|TER|MPR|PER|QMR)-\s*\d+"
+# Words of a question that are held against the corpus, and those that are not.
+TOPIC_WORD = "[가-힣]{3,}|[A-Za-z]{4,}"
+TOPIC_STOP = "무엇 어떻게 얼마 있는 있나 있습 되어 대한 관련 문서 확인 기재 명시 제공 해당 경우 여부 내용 항목 질문 답변 가능".split()
 
-    A hash join of the two token sets; the corpus side is made distinct before it is shuffled.
+
+def unanswerable(question_type: Column) -> Column:
+    return F.lower(T.strip(F.coalesce(question_type, F.lit("")))) == "unanswerable"
+
+
+def topic_words(q: Column) -> Column:
+    """The words of a question that may name a topic of the corpus, in order, with repetitions."""
+    found = F.regexp_extract_all(F.coalesce(q, F.lit("")), F.lit(TOPIC_WORD), F.lit(0))
+    return F.filter(F.transform(found, T.casefold), lambda w: ~w.isin(TOPIC_STOP))
+
+
+def corpus_overlap(questions: DataFrame, chunks: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, n_words, n_known): the topic words of each question, and how many stand anywhere in its document's chunks.
+
+    questions: key, query, doc; chunks: doc, text.  Questions meet the chunks of their
+    document only; of a chunk just the numbers of the words that it has are shuffled.
+    """
+    asked = questions.select(key, "doc", topic_words(F.col("query")).alias("w"))
+    texts = chunks.where("text <> ''").select("doc", T.casefold(F.col("text")).alias("t"))
+    met = asked.where("size(w) > 0").join(texts, "doc").select(key, F.explode(F.expr("filter(sequence(0, size(w) - 1), i -> contains(t, w[i]))")).alias("i"))
+    hits = met.groupBy(key, "i").agg(F.first(F.lit(1)).alias("x")).groupBy(key).agg(F.count(F.lit(1)).alias("n_known"))
+    return asked.join(hits, key, "left").select(key, F.size("w").cast("bigint").alias("n_words"), F.coalesce("n_known", F.lit(0)).alias("n_known"))
+
+
+def reject_reasons(questions: DataFrame, chunks: DataFrame, key: str = "eval_id") -> DataFrame:
+    """(key, reason): why a question is no unanswerable one for its document; null if it may be.
+
+    The first rule that applies: no question, a forbidden phrase, a wording or an id tied to
+    the document, or topic words in its chunks (two, or all of at most three).
+    questions: key, question, doc; chunks: doc, text.
     """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[가-힣a-z0-9]{2,}"), F.lit(0)))
-    asked = questions.select("query_id", F.explode(words(F.col("query"))).alias("w"))
-    known = index.select(F.explode(words(F.col("body"))).alias("w")).distinct().withColumn("k", F.lit(1))
-    return asked.join(known, "w", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count("k").alias("n_known"))
+    q = T.strip(F.coalesce("question", F.lit("")))
+    low = T.casefold(q)
+    phrase = F.coalesce(*[F.when(F.contains(low, F.lit(p)), F.lit(f"forbidden_phrase:{p}")) for p in FORBIDDEN])
+    plain = F.coalesce(F.when(q == "", "empty_question"), phrase, F.when(q.rlike(f"(?iU){SCOPED}"), "doc_scoped_wording"), F.when(q.rlike(f"(?iU){SCOPED_ID}"), "requirement_id_in_question"))
+    first = questions.select(key, "question", "doc", plain.alias("plain"))
+    met = corpus_overlap(first.where("plain IS NULL").select(key, F.col("question").alias("query"), "doc"), chunks, key)
+    overlap = F.when((F.col("n_words") >= 2) & ((F.col("n_known") >= 2) | ((F.col("n_words") <= 3) & (F.col("n_known") == F.col("n_words")))), "corpus_keyword_overlap")
+    return first.join(met, key, "left").select(key, F.coalesce("plain", overlap).alias("reason"))
 
 
 def valid_gold(questions: DataFrame, chunks: DataFrame) -> DataFrame:

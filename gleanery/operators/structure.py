@@ -82,20 +82,6 @@ def shapes(rows: DataFrame) -> DataFrame:
     return sums.select("file_name", "table_id", "n_rows", "n_cols", table_shape(F.col("n_rows"), F.col("n_cols"), F.col("f"), F.col("r")).alias("shape"))
 
 
-def continued(tables: DataFrame, key: str = "file_name", pos: str = "pos") -> DataFrame:
-    """Adds ``island`` to tables in order: a table goes on with the one before if path and columns are equal and headers overlap by half.
-
-    ``tables``: key, pos, path, n_cols, header (array).  Islands are numbered per key.
-    """
-    w = Window.partitionBy(key).orderBy(pos)
-    head, before = F.col("header"), F.lag("header").over(w)
-    small = F.least(F.size(head), F.size(before))
-    alike = F.when((F.size(head) > 0) & (F.size(before) > 0), F.size(F.array_intersect(head, before)) >= 0.5 * small).otherwise(True)
-    goes_on = F.lag("path").over(w).eqNullSafe(F.col("path")) & (F.lag("n_cols").over(w) == F.col("n_cols")) & (F.col("n_cols") > 0) & alike & F.lag(pos).over(w).isNotNull()
-    flagged = tables.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    return flagged.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
-
-
 def row_groups(rows: DataFrame, size: int = 10) -> DataFrame:
     """(file_name, table_id, grp, label, n, text): rows of each table in groups of ``size`` by order, with an a-b label."""
     w = Window.partitionBy("file_name", "table_id").orderBy(F.col("row_index").asc_nulls_first(), "row_id")

@@ -139,13 +139,27 @@ _M = f"""(SELECT *, CASE WHEN can THEN NOT is_refusal AND coalesce(correctness_p
  CASE WHEN NOT can AND is_refusal THEN NULL WHEN NOT can THEN 'should_refuse'
  WHEN dk <> '' AND coalesce(doc_hit, 1) = 0 AND NOT coalesce(correctness_pass, false) THEN 'wrong_doc' WHEN is_refusal THEN 'wrong_refusal'
  WHEN NOT coalesce(correctness_pass, true) THEN 'wrong_answer' WHEN coalesce(retrieval_keyword_hit, 1) = 0 THEN 'low_retrieval' END AS failure_reason FROM {_M6})"""
-_H = f"""(SELECT *, NOT is_refusal AND NOT coalesce(correctness_pass, false) AND coalesce(correctness_score <= 2, false) AS hallucination,
- coalesce(failure_reason, CASE WHEN NOT is_refusal AND NOT coalesce(correctness_pass, false) AND coalesce(correctness_score <= 2, false) THEN 'hallucination' WHEN wrong_refusal THEN 'wrong_refusal' ELSE 'legacy' END) AS kind FROM {_M})"""
+_W = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[가-힣a-z0-9]{{2,}}'))"
+_PTS = lambda part, whole: f"CAST(CASE WHEN {whole} = 0 THEN 0 ELSE floor(CAST({part} AS DOUBLE) / {whole} * 5 + 0.5) END AS INT)"
+_J = f"""(SELECT *, {_PTS('len(list_intersect(aw, cw))', 'len(aw)')} AS f_score, {_PTS('len(list_intersect(qw, aw))', 'len(qw)')} AS r_score, {_PTS('used', 'len(ctx)')} AS s_score FROM
+ (SELECT *, {_W("coalesce(answer, '')")} AS aw, {_W("coalesce(question, '')")} AS qw, {_W("coalesce(array_to_string(ctx, ' '), '')")} AS cw,
+  len(list_filter(ctx, lambda t: len(list_intersect({_W('t')}, {_W("coalesce(answer, '')")})) > 0)) AS used FROM
+  (SELECT *, list_transform(coalesce(sources, []), lambda s: coalesce(s.text, '')) AS ctx FROM {_M})))"""
+_H = f"""(SELECT *, NOT is_refusal AND NOT coalesce(correctness_pass, false) AND (coalesce(correctness_score <= 2, false) OR f_score < 4) AS hallucination,
+ coalesce(failure_reason, CASE WHEN NOT is_refusal AND NOT coalesce(correctness_pass, false) AND (coalesce(correctness_score <= 2, false) OR f_score < 4) THEN 'hallucination' WHEN wrong_refusal THEN 'wrong_refusal' ELSE 'legacy' END) AS kind FROM {_J})"""
 _POOL = f"""(SELECT *, coalesce(question, '') AS fq, dk AS fd FROM {_H} WHERE CASE WHEN partial_limitation AND NOT (failure_reason IS NOT NULL OR wrong_refusal OR NOT task_success) THEN false
  WHEN appropriate_refusal AND task_success THEN false WHEN task_success THEN false WHEN failure_reason IS NOT NULL OR wrong_refusal OR hallucination OR NOT task_success OR is_refusal THEN true
- ELSE coalesce(correctness_score < 4, false) END)"""
-_MEANS = ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ("doc_hit", "retrieval_keyword_hit", "context_precision", "recall_at_5", "mrr", "correctness_score", "total_latency_ms"))
-_LABEL = "coalesce(nullif(" + _strip("coalesce({0}, '')") + ", ''), 'unlabelled')"
+ ELSE coalesce(correctness_score < 4, false) OR f_score < 4 OR r_score < 4 OR s_score < 4 OR coalesce(doc_hit = 0, false) OR coalesce(retrieval_keyword_hit = 0, false) OR coalesce(context_precision = 0, false) OR coalesce(recall_at_5 = 0, false) OR coalesce(mrr = 0, false) END)"""
+_SHOWN = f"""(SELECT *, CASE kind WHEN 'wrong_doc' THEN 0 WHEN 'wrong_refusal' THEN 1 WHEN 'hallucination' THEN 2 WHEN 'wrong_answer' THEN 3 WHEN 'low_retrieval' THEN 4 WHEN 'should_refuse' THEN 5 WHEN 'legacy' THEN 6 ELSE 99 END AS p FROM {_POOL}
+ QUALIFY row_number() OVER (PARTITION BY fq, fd ORDER BY eval_id) = 1 ORDER BY p, coalesce(doc_hit, 1), f_score, coalesce(correctness_score, 5), eval_id LIMIT 50)"""
+_LEFT = lambda cond: f"(SELECT * FROM (SELECT *, coalesce(question, '') AS fq, dk AS fd FROM {_H}) r WHERE {cond} AND NOT EXISTS (SELECT 1 FROM {_SHOWN} p WHERE p.fq = r.fq AND p.fd = r.fd) QUALIFY row_number() OVER (PARTITION BY fq, fd ORDER BY eval_id) = 1)"
+_TAGS = """list_filter([CASE failure_reason WHEN 'wrong_doc' THEN '잘못된 문서 검색 (Wrong Doc)' WHEN 'wrong_refusal' THEN '무단 거절 (Wrong Refusal)' WHEN 'wrong_answer' THEN '오답 (Wrong Answer)' WHEN 'low_retrieval' THEN '검색 부족 (Low Retrieval)' WHEN 'should_refuse' THEN '거절 필요·답변함 (Should Refuse)' END,
+ CASE WHEN (wrong_refusal OR coalesce(failure_reason, '') = 'wrong_refusal') AND coalesce(failure_reason, '') <> 'wrong_refusal' THEN '무단 거절' WHEN NOT wrong_refusal AND is_refusal AND coalesce(failure_reason, '') NOT IN ('should_refuse', 'wrong_refusal') THEN '거절 응답' END,
+ CASE WHEN partial_limitation THEN '부분 범위 제한' END, CASE WHEN hallucination THEN '환각 의심' END], lambda x: x IS NOT NULL)"""
+_MEANS = ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ("doc_hit", "retrieval_keyword_hit", "context_precision", "recall_at_5", "mrr", "f_score", "r_score", "s_score", "correctness_score", "total_latency_ms"))
+_TYPES = ["사실 확인", "요약", "비교", "후속 질문", "요구사항 상세", "문서 외 질문", "미분류"]
+_TYPE = "CASE " + _strip("coalesce(question_type, '')") + " WHEN '' THEN '미분류' WHEN 'fact' THEN '사실 확인' WHEN 'summary' THEN '요약' WHEN 'comparison' THEN '비교' WHEN 'follow_up' THEN '후속 질문' WHEN 'requirement_detail' THEN '요구사항 상세' WHEN 'unanswerable' THEN '문서 외 질문' ELSE " + _strip("coalesce(question_type, '')") + " END"
+_FOCUS = "CASE " + _strip("coalesce(eval_focus, '')") + " WHEN '' THEN '미분류' WHEN 'text' THEN '본문·표 (HWP)' WHEN 'ocr_image' THEN 'OCR/스캔 이미지' ELSE " + _strip("coalesce(eval_focus, '')") + " END"
 
 # --- headings
 _HEAD = """(SELECT doc_id, pos, line, s, CASE WHEN s = '' OR length(s) > 120 THEN NULL
@@ -185,6 +199,8 @@ _PICKED = f"""(SELECT *, row_number() OVER (PARTITION BY doc, section_type ORDER
 
 def oracle_sql() -> dict[str, str]:
     from gleanery.operators import questions as Q
+    from gleanery.plans.chunking import sql as chunking_sql
+    from gleanery.plans.evaluation import sql as evaluation_sql
 
     any_ = lambda ps: "(?i)" + "|".join(f"(?:{p})" for p in ps).replace("\\s", f"[{JWS}]")
     q = _strip("coalesce(question, '')")
@@ -230,12 +246,14 @@ def oracle_sql() -> dict[str, str]:
         "retrieval_metrics": f"SELECT eval_id, doc_hit, retrieval_keyword_hit, round(context_precision, 6) AS context_precision, round(recall_at_5, 6) AS recall_at_5, round(mrr, 6) AS mrr, retrieved_files FROM {_M2}",
         "answer_bundle": f"SELECT eval_id, refusal_kind, is_refusal, partial_limitation, CAST(correctness_score AS BIGINT) AS correctness_score, correctness_pass, task_success, wrong_refusal, appropriate_refusal, failure_reason FROM {_M}",
         "answer_match": f"SELECT eval_id, ek <> '' AND ak <> '' AND contains(ak, ek) AS hit FROM {_M4}",
-        "harness_summary": f"SELECT count(*) AS n, {_MEANS}, round(avg(CAST(task_success AS INT)), 6) AS mean_task_success, round(avg(CAST(wrong_refusal AS INT)), 6) AS mean_wrong_refusal, round(avg(CAST(appropriate_refusal AS INT)), 6) AS mean_appropriate_refusal FROM {_M}",
-        "report_levels": f"SELECT CASE WHEN grouping(question_type) = 1 AND grouping(eval_focus) = 1 THEN 'overall' WHEN grouping(eval_focus) = 1 THEN 'question_type' ELSE 'eval_focus' END AS level, question_type, eval_focus, {report_aggs} FROM (SELECT * REPLACE ({_LABEL.replace('{0}', 'question_type')} AS question_type, {_LABEL.replace('{0}', 'eval_focus')} AS eval_focus) FROM {_M}) GROUP BY GROUPING SETS ((), (question_type), (eval_focus))",
+        "harness_summary": f"SELECT count(*) AS n, {_MEANS}, round(avg(CAST(task_success AS INT)), 6) AS mean_task_success, round(avg(CAST(wrong_refusal AS INT)), 6) AS mean_wrong_refusal, round(avg(CAST(appropriate_refusal AS INT)), 6) AS mean_appropriate_refusal FROM {_J}",
+        "report_levels": f"""SELECT CASE WHEN grouping(t) = 1 AND grouping(f) = 1 THEN 'overall' WHEN grouping(f) = 1 THEN 'question_type' ELSE 'eval_focus' END AS level, CAST(CASE WHEN grouping(t) = 1 AND grouping(f) = 1 THEN 0 WHEN grouping(f) = 1 THEN coalesce(nullif(list_position({_TYPES!r}, t), 0), 8) ELSE coalesce(nullif(list_position(['본문·표 (HWP)', 'OCR/스캔 이미지', '미분류'], f), 0), 4) END AS BIGINT) AS place, t AS question_type, f AS eval_focus, {report_aggs}
+ FROM (SELECT *, {_TYPE} AS t, {_FOCUS} AS f FROM {_J}) GROUP BY GROUPING SETS ((), (t), (f))""",
         "task_outcomes": f"SELECT count(*) FILTER (task_success) AS passed, count(*) FILTER (NOT task_success) AS failed, count(*) FILTER (task_success AND appropriate_refusal) AS appropriate_refusal, count(*) FILTER (task_success IS NULL) AS unknown FROM {_M}",
         "failure_counts": f"SELECT label, count(*) AS n FROM (SELECT coalesce(failure_reason, CASE WHEN wrong_refusal THEN 'wrong_refusal' WHEN hallucination THEN 'hallucination_unlabelled' END) AS label FROM {_H}) WHERE label IS NOT NULL GROUP BY label",
-        "failures_top": f"SELECT eval_id, kind FROM (SELECT *, CASE kind WHEN 'wrong_doc' THEN 0 WHEN 'wrong_refusal' THEN 1 WHEN 'hallucination' THEN 2 WHEN 'wrong_answer' THEN 3 WHEN 'low_retrieval' THEN 4 WHEN 'should_refuse' THEN 5 WHEN 'legacy' THEN 6 ELSE 99 END AS p FROM {_POOL} QUALIFY row_number() OVER (PARTITION BY fq, fd ORDER BY eval_id) = 1) ORDER BY p, coalesce(doc_hit, 1), coalesce(correctness_score, 5), eval_id LIMIT 50",
-        "successes": f"WITH p AS (SELECT DISTINCT fq, fd FROM {_POOL}) SELECT eval_id FROM eval_rows r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.fq = coalesce(r.question, '') AND p.fd = coalesce(CAST(r.doc_id AS VARCHAR), ''))",
+        "failures_top": f"SELECT eval_id, kind FROM {_SHOWN}",
+        "successes": f"SELECT eval_id FROM {_LEFT('task_success')}",
+        "failure_table": f"SELECT eval_id, array_to_string(CASE WHEN len(t) > 0 THEN t ELSE ['기타 저점수'] END, ' | ') AS outcome FROM (SELECT *, {_TAGS} AS t FROM {_SHOWN}) UNION ALL SELECT eval_id, '부분 범위 제한' FROM {_LEFT('partial_limitation')}",
         "chunk_summary": f"{per_type} UNION ALL SELECT 'type:' || coalesce(chunk_type, 'none'), CAST(count(*) AS DOUBLE) FROM chunks GROUP BY 1",
         "slim_projection": "SELECT format('slim_chunk_{:08d}', row_number() OVER (ORDER BY row_idx)) AS slim_id, chunk_id, nullif(metadata['file_name'], '') AS file_name, nullif(metadata['section_type'], '') AS section_type, CAST(len(list_filter(['file_name', 'section_type', 'table_id', 'table_type'], lambda k: coalesce(metadata[k], '') <> '')) AS BIGINT) AS n_keys FROM chunks",
         "merged_ids": "WITH r AS (SELECT DISTINCT chunk_id, scorer || ':' || eval_id AS source FROM ranked_chunks WHERE eval_id IS NOT NULL AND chunk_id IS NOT NULL AND scorer IS NOT NULL) SELECT chunk_id, source, CASE WHEN row_number() OVER (PARTITION BY chunk_id ORDER BY source) = 1 THEN chunk_id ELSE chunk_id || '_' || substr(sha1(source || ':' || chunk_id), 1, 8) END AS merged_id FROM r",
@@ -246,7 +264,6 @@ def oracle_sql() -> dict[str, str]:
         "question_filters": f"""SELECT eval_id, CASE WHEN {q} = '' THEN 'empty_question' WHEN regexp_matches({q}, {_q(any_(Q.OPEN_ENDED))}) THEN 'open_ended_wording' END AS open_ended, CASE WHEN {q} = '' THEN 'empty_question' WHEN regexp_matches({q}, {_q(any_(Q.INTERNAL_ID))}) THEN 'ocr_internal_id' END AS internal_id,
  contains({q}, '@') OR regexp_matches(lower({q}), {_q(Q.FORM_TOPIC)}) OR regexp_matches(lower({q}), {_q(Q.FORM_DATE)}) OR (regexp_matches(lower({q}), {_q(Q.FORM_PLACE)}) AND regexp_matches(lower({q}), {_q(Q.FORM_FIELD)})) AS about_form,
  coalesce(array_to_string(list_transform(regexp_extract_all(upper(coalesce(question, '')), {_q(Q.REQUIREMENT)}), lambda x: regexp_replace(x, '\\s+', '', 'g')), ','), '') AS requirement_ids FROM eval_rows""",
-        "question_overlap": f"WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce({_BODY}, '')), '[가-힣a-z0-9]{{2,}}')) AS w FROM chunks), a AS (SELECT DISTINCT eval_id AS query_id, unnest(regexp_extract_all(lower(coalesce(question, '')), '[가-힣a-z0-9]{{2,}}')) AS w FROM eval_rows WHERE eval_id % 20 = 0) SELECT query_id, count(*) AS n_tokens, count(k.w) AS n_known FROM a LEFT JOIN k USING (w) GROUP BY query_id",
         "gold_validity": f"""WITH g AS (SELECT eval_id, unnest(gold_chunk_ids) AS g, unnest(range(len(gold_chunk_ids))) AS i FROM eval_rows),
  v AS (SELECT eval_id, list(g ORDER BY i) AS gold FROM g JOIN (SELECT DISTINCT chunk_id FROM chunks) c ON g.g = c.chunk_id GROUP BY eval_id)
  SELECT r.eval_id, coalesce(gold, []) AS gold, CASE WHEN lower({kind}) = 'unanswerable' AND gold IS NOT NULL THEN 'unanswerable_with_gold' WHEN lower({kind}) <> 'unanswerable' AND gold IS NULL THEN 'answerable_without_gold' ELSE 'keep' END AS verdict FROM eval_rows r LEFT JOIN v USING (eval_id)""",
@@ -264,9 +281,10 @@ def oracle_sql() -> dict[str, str]:
  p AS (SELECT doc_id, pos, list_filter([t1, CASE WHEN p2 > coalesce(p1, -1) THEN t2 END, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN t3 END, CASE WHEN p4 > greatest(coalesce(p1, -1), coalesce(p2, -1), coalesce(p3, -1)) THEN t4 END], lambda t: t IS NOT NULL) AS l FROM h)
  SELECT doc_id, pos, coalesce(array_to_string(l, ' > '), '') AS path, {_section("coalesce(array_to_string(l, ' '), '')")} AS section_type FROM p""",
         "section_types": f"SELECT chunk_id, {section} AS section_type FROM chunks",
-        "table_continuation": "WITH t AS (SELECT file_name, table_id, min(row_id) AS pos, min(coalesce(array_to_string(section_path, ' > '), '')) AS path, max(coalesce(cardinality(cells), 0)) AS n_cols FROM table_rows WHERE file_name IS NOT NULL AND table_id IS NOT NULL GROUP BY ALL), f AS (SELECT *, CASE WHEN lag(path) OVER w = path AND lag(n_cols) OVER w = n_cols AND n_cols > 0 THEN 0 ELSE 1 END AS nw FROM t WINDOW w AS (PARTITION BY file_name ORDER BY pos)) SELECT file_name, table_id, CAST(sum(nw) OVER (PARTITION BY file_name ORDER BY pos) AS BIGINT) AS island FROM f",
         "table_row_groups": "WITH r AS (SELECT file_name, table_id, coalesce(_rag_row_text, '') AS t, row_number() OVER (PARTITION BY file_name, table_id ORDER BY row_index NULLS FIRST, row_id) AS rn FROM table_rows) SELECT file_name, table_id, (rn - 1) // 10 AS grp, min(rn) || '-' || max(rn) AS label, count(*) AS n, string_agg(t, chr(10) ORDER BY rn) AS text FROM r GROUP BY file_name, table_id, grp",
         "record_runs": "WITH f AS (SELECT doc_id, row_idx, chunk_type, CASE WHEN row_number() OVER w > 1 AND lag(chunk_type) OVER w IS NOT DISTINCT FROM chunk_type THEN 0 ELSE 1 END AS nw FROM chunks WHERE doc_id IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY row_idx)), i AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY row_idx) AS island FROM f) SELECT doc_id, CAST(island AS BIGINT) AS island, chunk_type, count(*) AS n, min(row_idx) AS first_pos FROM i GROUP BY doc_id, island, chunk_type",
         "page_events_filled": "SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seen_filled FROM events",
+        **evaluation_sql(),
+        **chunking_sql(),
         "chat_facets": "SELECT 'type' AS facet, coalesce(chunk_type, 'none') AS value, count(*) AS n FROM chunks GROUP BY ALL UNION ALL SELECT 'section', coalesce(metadata['section_type'], 'none'), count(*) FROM chunks GROUP BY ALL",
     }

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions.numbering import positions
+from gleanery import providers
 from gleanery.operators import metrics, ocr, pages, questions, records, sampling, search, splitters, structure
+from gleanery.plans import chunking, evaluation
 from gleanery.session import table
 
 #: Searches take as queries every row whose id is divisible by this, against all rows.
@@ -34,8 +36,9 @@ def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """All metrics of the answered questions; the judge is the one without a model."""
     rows = table(spark, d, "eval_rows")
-    return metrics.answer_metrics(metrics.retrieval_metrics(rows))
+    return metrics.generation_scores(metrics.answer_metrics(metrics.retrieval_metrics(rows)), providers.overlap_scores)
 
 
 def text_normalised(spark, d):
@@ -227,13 +230,9 @@ def question_filters(spark, d):
 
 
 def question_overlap(spark, d):
-    return questions.corpus_overlap(_asked(spark, d), _index(spark, d))
-
-
-def question_overlap_all(spark, d):
-    """The overlap of every question; question_overlap is held against SQL over a twentieth of them."""
-    asked = table(spark, d, "eval_rows").select(F.col("eval_id").alias("query_id"), F.col("question").alias("query"))
-    return questions.corpus_overlap(asked, _index(spark, d))
+    """How many topic words of each question stand in the chunks of its document."""
+    asked = table(spark, d, "eval_rows").select(F.col("eval_id").alias("query_id"), F.col("question").alias("query"), F.col("doc_id").alias("doc"))
+    return questions.corpus_overlap(asked, table(spark, d, "chunks").select(F.col("doc_id").alias("doc"), "text"))
 
 
 def gold_validity(spark, d):
@@ -262,12 +261,6 @@ def table_shapes(spark, d):
     return structure.shapes(table(spark, d, "table_rows"))
 
 
-def table_continuation(spark, d):
-    rows = table(spark, d, "table_rows").where("file_name IS NOT NULL AND table_id IS NOT NULL")
-    tables = rows.groupBy("file_name", "table_id").agg(F.min("row_id").alias("pos"), F.min(F.coalesce(F.array_join("section_path", " > "), F.lit(""))).alias("path"), F.max(F.coalesce(F.size("cells"), F.lit(0))).alias("n_cols"))
-    return structure.continued(tables.withColumn("header", F.array().cast("array<string>"))).select("file_name", "table_id", F.col("island").cast("bigint").alias("island"))
-
-
 def table_row_groups(spark, d):
     return structure.row_groups(table(spark, d, "table_rows"))
 
@@ -357,13 +350,13 @@ NAMES = [
     text_normalised, text_clean_block, text_keys, search_tokens, html_text, durations, bm25_corpus_stats, bm25_term_df, bm25_topk, bm25_doc_filtered, dense_topk, dense_filtered,
     hybrid_rrf, hybrid_threshold, hybrid_minmax, reranked, context_budget, last_turns, doc_scope, documents_of_files, retrieval_metrics, answer_bundle, answer_match, harness_summary, report_levels,
     task_outcomes, failure_counts, failures_top, successes, split_baseline, split_oversized, split_section, split_paragraph, chunked_documents, chunk_summary, slim_projection, merged_ids,
-    mock_embedding, quota_sample, sampling_summary, stride_sample, question_filters, question_overlap, question_overlap_all, gold_validity, headings, heading_paths, section_types, table_shapes, table_continuation,
+    mock_embedding, quota_sample, sampling_summary, stride_sample, question_filters, question_overlap, gold_validity, headings, heading_paths, section_types, table_shapes,
     table_row_groups, record_runs, ocr_errors, ocr_fields, ocr_summary, chat_facets, record_chunks, record_table_groups, html_grids, page_events_filled,
 ]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in NAMES}
+    return {f.__name__: f for f in [*NAMES, *evaluation.NAMES, *chunking.NAMES]}
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -88,3 +88,53 @@ def prompt(question: Column, context: Column, history: Column | None = None) ->
     head = F.lit("Answer from the context only; say so where it has no answer.")
     turns = F.nullif(history, F.lit("")) if history is not None else F.lit(None)
     return F.concat(F.concat_ws("\n", head, turns, F.concat(F.lit("Question: "), F.coalesce(question, F.lit("")))), F.lit("\n\n"), F.coalesce(context, F.lit("")))
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[가-힣a-z0-9]{2,}"), F.lit(0)))
+
+
+def overlap_scores(question: Column, contexts: Column, given: Column) -> Column:
+    """struct(f_score, r_score, s_score, judge_error): a judge without a model, of built-in expressions.
+
+    Faithfulness is the share of the answer's words that the contexts have, relevance that
+    of the question's words that the answer has, synthesis that of the contexts that share
+    a word with the answer; shares of nothing are 0.
+    """
+    a, q, c = _words(given), _words(question), _words(F.array_join(contexts, " "))
+    points = lambda part, whole: F.coalesce(F.floor(F.try_divide(part.cast("double"), whole) * 5 + 0.5), F.lit(0)).cast("int")
+    used = F.size(F.filter(contexts, lambda t: F.size(F.array_intersect(_words(t), a)) > 0))
+    return F.struct(
+        points(F.size(F.array_intersect(a, c)), F.size(a)).alias("f_score"), points(F.size(F.array_intersect(q, a)), F.size(q)).alias("r_score"),
+        points(used, F.size(contexts)).alias("s_score"), F.lit(None).cast("string").alias("judge_error"),
+    )
+
+
+Scores = Callable[[list[tuple[str, list[str], str]]], list[tuple[int, int, int]]]
+
+
+def judged_generation(provider: Scores) -> Callable[[Column, Column, Column], Column]:
+    """A judge for ``metrics.generation_scores`` from a model that scores batches of (question, contexts, answer); a failing batch has zeros and its error."""
+    names = ["f_score", "r_score", "s_score"]
+
+    @F.pandas_udf(StructType([*[StructField(n, IntegerType()) for n in names], StructField("judge_error", StringType())]))
+    def judge(q: pd.Series, contexts: pd.Series, a: pd.Series) -> pd.DataFrame:
+        try:
+            scores = provider([(x, list(c), y) for x, c, y in zip(q, contexts, a, strict=True)])
+            return pd.DataFrame(scores, columns=names).assign(judge_error=None)
+        except Exception as x:
+            return pd.DataFrame({n: [0] * len(q) for n in names}).assign(judge_error=str(x))
+
+    return judge
+
+
+def without_thoughts(c: Column) -> Column:
+    """A generated text without its <think> blocks, an unclosed one included."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*$", ""))
+
+
+def prefixed_embedding(text: Column, query: bool, provider: Embed | None = None) -> Column:
+    """The unit vector of a text with the prefix that models for search expect before queries and passages."""
+    v = embedding(F.concat(F.lit("query: " if query else "passage: "), F.coalesce(text, F.lit(""))), provider)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)).cast("float"))

@@ -164,5 +164,5 @@ def test_overlap_covers_every_question(spark, data):
         a, b = want.get(key, (0, 0))
         if w:
             want[key] = (a + len(w), b + len(w & known))
-    got = {r["query_id"]: (r["n_tokens"], r["n_known"]) for r in queries.queries()["question_overlap_all"](spark, data).collect()}
+    got = {r["query_id"]: (r["n_tokens"], r["n_known"]) for r in queries.queries()["question_overlap"](spark, data).collect()}
     assert got == want and len(got) > 10 * queries.question_overlap(spark, data).count()
