@@ -201,6 +201,7 @@ def oracle_sql() -> dict[str, str]:
     from gleanery.operators import questions as Q
     from gleanery.plans.chunking import sql as chunking_sql
     from gleanery.plans.evaluation import sql as evaluation_sql
+    from gleanery.plans.reading import sql as reading_sql
 
     any_ = lambda ps: "(?i)" + "|".join(f"(?:{p})" for p in ps).replace("\\s", f"[{JWS}]")
     q = _strip("coalesce(question, '')")
@@ -286,5 +287,6 @@ def oracle_sql() -> dict[str, str]:
         "page_events_filled": "SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seen_filled FROM events",
         **evaluation_sql(),
         **chunking_sql(),
+        **reading_sql(),
         "chat_facets": "SELECT 'type' AS facet, coalesce(chunk_type, 'none') AS value, count(*) AS n FROM chunks GROUP BY ALL UNION ALL SELECT 'section', coalesce(metadata['section_type'], 'none'), count(*) FROM chunks GROUP BY ALL",
     }
