@@ -9,7 +9,7 @@ from gleanery.functions import text as T
 from gleanery.functions.numbering import positions
 from gleanery import providers
 from gleanery.operators import metrics, ocr, pages, questions, records, sampling, search, splitters, structure
-from gleanery.plans import chunking, evaluation, reading
+from gleanery.plans import chunking, evaluation, parsing, reading
 from gleanery.session import table
 
 #: Searches take as queries every row whose id is divisible by this, against all rows.
@@ -356,7 +356,7 @@ NAMES = [
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in [*NAMES, *evaluation.NAMES, *chunking.NAMES, *reading.NAMES]}
+    return {f.__name__: f for f in [*NAMES, *evaluation.NAMES, *chunking.NAMES, *reading.NAMES, *parsing.NAMES]}
 
 
 def entry(spark: SparkSession) -> DataFrame:
