@@ -86,7 +86,7 @@ def tokens(c: Column) -> Column:
     found = F.regexp_extract_all(casefold(nfkc(c)), F.lit(TOKEN), F.lit(0))
 
     def both(t: Column) -> Column:
-        short = F.regexp_replace(t, r"[-_/,.\s]+", "")
+        short = F.translate(t, "-_/,.", "")  # a token has no white space
         return F.when((short != "") & (short != t), F.array(t, short)).otherwise(F.array(t))
 
     return F.flatten(F.transform(found, both))

@@ -51,17 +51,52 @@ def by_quota(cands: DataFrame, quotas: dict[str, int] | None = None, sparse: int
     """
     quotas = quotas or QUOTAS
     table = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])
-    path = Window.partitionBy("doc", "section_type", "section_path").orderBy(F.col("score").desc(), F.coalesce("part", F.lit(9999)), "row_idx")
+    own = F.struct((-F.col("score")).alias("s"), F.coalesce("part", F.lit(9999)).alias("p"), F.col("row_idx").alias("i"))
+    wanted = cands.where(F.col("section_type").isin(list(quotas)))
+    # of one path at most a quota's number of rows can be picked, and of a section the best rows of as many paths:
+    # each path keeps its first rows within hash buckets, so a hot document is cut down before its windows
+    most = max(quotas.values())
+    bucket = F.pmod(F.xxhash64("row_idx"), F.lit(64))
+    local = Window.partitionBy("doc", "section_type", "section_path", "__b").orderBy(own)
+    cut = wanted.withColumn("__b", bucket).withColumn("__r", F.row_number().over(local)).where(F.col("__r") <= most).drop("__b", "__r")
+    path = Window.partitionBy("doc", "section_type", "section_path").orderBy(own)
+    ranked = cut.withColumn("__n", F.row_number().over(path)).where(F.col("__n") <= most).withColumn("again", (F.col("__n") > 1).cast("int")).drop("__n")
     order = [F.col("again"), F.col("score").desc(), F.col("section_path"), F.coalesce("part", F.lit(9999)), F.col("row_idx")]
-    picked = cands.where(F.col("section_type").isin(list(quotas))).withColumn("again", (F.row_number().over(path) > 1).cast("int"))
     w = Window.partitionBy("doc", "section_type").orderBy(*order)
-    picked = picked.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= table[F.col("section_type")])
+    picked = ranked.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= table[F.col("section_type")])
     if sparse:
         core = F.sum((F.col("section_type") != "appendix_form").cast("int")).over(Window.partitionBy("doc"))
         picked = picked.withColumn("core", core).where((F.col("section_type") != "appendix_form") | (F.col("core") < sparse)).drop("core")
     return picked.drop("again")
 
 
+def by_document(cands: DataFrame, quotas: dict[str, int] | None = None, least: int = 0) -> DataFrame:
+    """:func:`by_quota`, appendix forms only where a document has fewer than ``least`` other picks, and body text up to ``least`` where it still has fewer.
+
+    Adds rank_in_doc and rank_in_section, in the order of the sections and then of the picks.
+    """
+    quotas = quotas or QUOTAS
+    picked = by_quota(cands, quotas, least)
+    if least:
+        have = picked.groupBy("doc").agg(F.count(F.lit(1)).alias("k"))
+        body = by_quota(cands.where("section_type = 'body'"), {"body": least}).join(have, "doc", "left").where(F.col("pick") <= least - F.coalesce("k", F.lit(0))).drop("k")
+        picked = picked.unionByName(body)
+    names = [*quotas, "body"]
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("section_type"))
+    doc = Window.partitionBy("doc").orderBy(place, "pick", "row_idx")  # at most the sum of the quotas
+    return picked.withColumns({"rank_in_doc": F.row_number().over(doc), "rank_in_section": F.col("pick")})
+
+
+def sampling_report(cands: DataFrame, picked: DataFrame) -> DataFrame:
+    """(measure, value): rows, candidates, documents, rows per document, and rows of each section."""
+    per = picked.groupBy("doc").agg(F.count(F.lit(1)).alias("k"))
+    sums = per.agg(F.coalesce(F.sum("k"), F.lit(0)).cast("double").alias("rows"), F.count(F.lit(1)).cast("double").alias("documents"), F.min("k").cast("double").alias("min_per_doc"), F.max("k").cast("double").alias("max_per_doc"), F.round(F.avg("k"), 2).alias("avg_per_doc"))
+    wide = sums.select(F.expr("stack(5, 'rows', rows, 'documents', documents, 'min_per_doc', min_per_doc, 'max_per_doc', max_per_doc, 'avg_per_doc', avg_per_doc) AS (measure, value)"))
+    n = cands.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("candidates").alias("measure"), "value")
+    sections = picked.groupBy(F.concat(F.lit("section:"), "section_type").alias("measure")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return wide.unionByName(n).unionByName(sections)
+
+
 def sampling_summary(picked: DataFrame) -> DataFrame:
     """One row: rows, documents, and rows per document (min, max, average)."""
     per = picked.groupBy("doc").agg(F.count(F.lit(1)).alias("k"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.operators import blocks
 from gleanery.storage import shared_table
 
 K1, B = 1.5, 0.75
@@ -48,25 +49,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.coalesce("query", F.lit(""))))).alias("term"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): BM25 top ``k``; ties by row_idx.
+def bm25(queries: DataFrame, index: DataFrame, k: int = 10, same: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): BM25 top ``k``; ties by row_idx (a number).
 
-    ``allowed`` (query_id, chunk_id) restricts the hits, not the statistics, which stay
-    those of the whole corpus.  Queries without a matching term have no rows.
+    ``allowed`` (query_id, chunk_id) restricts the hits to its pairs, which alone are scored
+    then.  ``same`` names a column of both sides that must be equal for a hit; the statistics stay
+    those of the whole corpus.  Queries without a matching term have no rows.  Terms are
+    compared by 64-bit hashes.  The texts are read and cut into terms once; the statistics
+    are one row and one row per asked term; scores come from pairs of blocks.
     """
-    tokenised = shared_table(index.select("chunk_id", "row_idx", T.tokens(F.coalesce("body", F.lit(""))).alias("t")))  # the texts are read once
-    stats = tokenised.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.size("t")).alias("avg_len"))
-    terms = query_terms(queries)
-    found = tokenised.select("chunk_id", "row_idx", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posts = shared_table(found.groupBy("term", "chunk_id", "row_idx", "dl").agg(F.count(F.lit(1)).alias("tf")))  # postings of asked terms only
-    hits = terms.join(posts, "term").join(document_frequency(posts), "term")
-    if allowed is not None:
-        hits = hits.join(allowed, ["query_id", "chunk_id"], "left_semi")
-    n, avg = F.col("n_chunks"), F.greatest(F.col("avg_len"), F.lit(1e-9))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
-    scored = hits.crossJoin(F.broadcast(stats)).groupBy("query_id", "chunk_id", "row_idx").agg(F.sum(part).alias("score")).where("score > 0")  # one row of statistics
-    return top_k(scored, k)
+    hashed = lambda c: F.transform(c, lambda t: F.xxhash64(t))
+    keep = [F.col(same).alias("key")] if same else []
+    tokenised = shared_table(index.select("chunk_id", F.col("row_idx").cast("bigint").alias("row_idx"), *keep, hashed(T.tokens(F.coalesce("body", F.lit("")))).alias("terms")))
+    stats = tokenised.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.size("terms")).alias("average"))
+    asked = queries.select("query_id", *keep, F.explode(F.array_distinct(hashed(T.tokens(F.coalesce("query", F.lit("")))))).alias("term"))
+    asked = shared_table(asked)
+    df = tokenised.select(F.explode(F.array_distinct("terms")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats.select("n_chunks"))).groupBy("query_id", *(["key"] if same else [])).agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("x"))  # the terms of one query; one row of statistics
+    q = weighted.select("query_id", *(["key"] if same else []), F.col("x.term").alias("terms"), F.col("x.idf").alias("idf"))
+    rows = tokenised.crossJoin(F.broadcast(stats.select("average")))  # one row of statistics
+    if allowed is None:
+        return top_k(blocks.matched(q, rows, blocks.bm25_scorer(K1, B), k), k)
+    pairs = allowed.select("query_id", "chunk_id").distinct().join(rows.drop("key"), "chunk_id").join(q.select("query_id", F.col("terms").alias("asked"), "idf"), "query_id")
+    length, mean = F.size("terms"), F.greatest("average", F.lit(1e-9))
+    tf = lambda t: F.size(F.filter("terms", lambda x: x == t))
+    part = F.zip_with("asked", "idf", lambda t, w: w * tf(t) * (K1 + 1) / (tf(t) + K1 * (1 - B + B * length / mean)))
+    return top_k(pairs.withColumn("score", F.aggregate(part, F.lit(0.0), lambda a, x: a + x)).where("score > 0"), k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -81,24 +90,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 256, allowed: Column | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): exact cosine top ``k`` of each query vector.
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, same: str | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): exact cosine top ``k`` of each query vector; ties by row_idx (a number).
 
     ``queries``: (query_id, vector); ``vectors``: (chunk_id, row_idx, vector).  A stated
-    query set against all rows, in blocks: queries are gathered in blocks of ``block`` and
-    each vector meets whole blocks; every task keeps its ``k`` best per query before the
-    shuffle.  ``allowed`` is a condition on query and vector columns.  Null and zero vectors
-    have no hits.
+    query set against all rows, in blocks: each pair of blocks is one product of matrices
+    and gives its ``k`` best per query.  ``same`` names a column of both sides that must be
+    equal.  Null and zero vectors, and those of another size, have no hits.
     """
-    unit = lambda v: F.transform(v, lambda x: F.try_divide(x.cast("double"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")))))
-    q = queries.withColumn("q", unit(F.col("vector"))).drop("vector")
-    blocks = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(1 << 30)) % block).groupBy("b").agg(F.collect_list(F.struct(*q.columns)).alias("qs")) if block > 1 else q
-    v = vectors.withColumn("v", unit(F.col("vector"))).drop("vector")
-    pairs = v.crossJoin(blocks).select(*v.columns, F.explode("qs").alias("qq")).select(*v.columns, "qq.*")
-    if allowed is not None:
-        pairs = pairs.where(allowed)
-    score = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return top_k(pairs.withColumn("score", score).where("score IS NOT NULL AND NOT isnan(score)"), k)
+    keep = [F.col(same).alias("key")] if same else []
+    double = F.col("vector").cast("array<double>").alias("vector")
+    hits = blocks.matched(queries.select("query_id", *keep, double), vectors.select("chunk_id", F.col("row_idx").cast("bigint").alias("row_idx"), *keep, double), blocks.vector_scorer, k)
+    return top_k(hits, k)
 
 
 def min_max(hits: DataFrame, score: str = "score", name: str = "score") -> DataFrame:
@@ -155,6 +158,23 @@ def last_turns(chat: DataFrame, conversation: str, turn: str, n: int = 6) -> Dat
     return chat.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
 
 
+def _grams(c: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
+
+
+def _containing(asked: DataFrame, lookup: DataFrame, n: int) -> DataFrame:
+    """(qkey, canonical) where one key contains the other: candidates share the first ``n`` characters of the shorter one, then are verified.
+
+    Keys under ``n`` characters are matched through their own whole text among all parts of
+    that length.
+    """
+    parts = lambda df, c, keep: df.select(*keep, F.explode(F.concat(F.when(F.length(c) >= n, _grams(F.col(c), n)).otherwise(F.array().cast("array<string>")), F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(n - 1), F.length(c))), lambda m: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - m + 1), lambda i: F.substring(c, i, m))))))).alias("g"))
+    head = lambda c: F.left(c, F.lit(n))
+    inside = parts(lookup, "key", ["key", "canonical"]).join(asked.select("qkey", head(F.col("qkey")).alias("g")), "g").where("contains(key, qkey)")
+    around = parts(asked, "qkey", ["qkey"]).join(lookup.select("key", "canonical", head(F.col("key")).alias("g")), "g").where("contains(qkey, key)")
+    return inside.select("qkey", "canonical").unionByName(around.select("qkey", "canonical"))
+
+
 def resolve_scope(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, query_doc, scope): the document a query names.
 
@@ -171,6 +191,6 @@ def resolve_scope(queries: DataFrame, names: DataFrame) -> DataFrame:
     distinct = asked.where("raw <> ''").select("qkey").distinct()
     exact = distinct.join(lookup, distinct.qkey == lookup.key).select("qkey", F.col("canonical").alias("exact"))
     open_ = distinct.join(exact, "qkey", "left_anti")
-    near = open_.join(lookup, F.expr("contains(key, qkey) OR contains(qkey, key)")).groupBy("qkey").agg(F.countDistinct("canonical").alias("n"), F.min("canonical").alias("near"))
+    near = _containing(open_, lookup, 5).groupBy("qkey").agg(F.countDistinct("canonical").alias("n"), F.min("canonical").alias("near"))
     out = asked.join(exact, "qkey", "left").join(near.where("n = 1").drop("n"), "qkey", "left")
     return out.select("query_id", "query_doc", F.when(F.col("raw") == "", None).otherwise(F.coalesce("exact", "near", "raw")).alias("scope"))

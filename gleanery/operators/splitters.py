@@ -142,8 +142,8 @@ def pack_rows(lines: list[str], size: int = SIZE, most: int = 30) -> list[list[s
 METHODS = {"baseline": baseline, "oversized": lambda t, s, o, _m: oversized(t, s, o), "section": section, "paragraph": paragraphs}
 
 
-def split(df: DataFrame, key: str, text: str = "text", method: str = "baseline", size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """(key, idx, chunk): the chunks of each text, numbered from 0.  Null and empty texts have none."""
+def split(df: DataFrame, key: str, text: str = "text", method: str = "baseline", size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, keep: list[str] | None = None) -> DataFrame:
+    """(key, idx, chunk) and the columns to ``keep``: the chunks of each text, numbered from 0.  Null and empty texts have none."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     cut = METHODS[method]
@@ -153,14 +153,14 @@ def split(df: DataFrame, key: str, text: str = "text", method: str = "baseline",
         return texts.map(lambda t: cut(t, size, overlap, least) if t else [])
 
     source = T.normalised(F.col(text)) if method == "baseline" else T.clean_block(F.col(text))
-    made = df.select(key, chunks(F.coalesce(source, F.lit(""))).alias("c"))
-    return made.select(key, F.posexplode("c").alias("idx", "chunk"))
+    made = df.select(key, *(keep or []), chunks(F.coalesce(source, F.lit(""))).alias("c"))
+    return made.select(key, F.posexplode("c").alias("idx", "chunk"), *(keep or []))
 
 
 def chunk_documents(documents: DataFrame, **options) -> DataFrame:
     """(chunk_id, doc_id, text, metadata): baseline chunks with ids doc::chunk-0000 and the document's metadata."""
-    parts = split(documents, "doc_id", **options)
-    joined = parts.join(documents.select("doc_id", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("m"), "path"), "doc_id")
+    with_map = documents.withColumn("m", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+    joined = split(with_map, "doc_id", keep=["m", "path"], **options)
     own = F.map_from_arrays(F.array(F.lit("source_path"), F.lit("chunk_index")), F.array(F.coalesce("path", F.lit("")), F.col("idx").cast("string")))
     kept = F.map_filter("m", lambda k, _v: ~k.isin("source_path", "chunk_index"))
     return joined.select(F.format_string("%s::chunk-%04d", F.col("doc_id").cast("string"), F.col("idx")).alias("chunk_id"), "doc_id", F.col("chunk").alias("text"), F.map_concat(kept, own).alias("metadata"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as T
 from gleanery.functions.numbering import positions
 from gleanery.operators import prechunk, structure, tables
-from gleanery.session import table
+from gleanery.session import spread, table
 
 PAGE = 20
 
@@ -69,7 +69,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 def heading_kinds(spark, d):
     """How each line of the documents begins, and whether it could be a heading."""
-    found = structure.lines(table(spark, d, "documents"), "doc_id")
+    found = structure.lines(spread(table(spark, d, "documents")), "doc_id")
     line = F.col("line")
     return found.select("doc_id", F.col("pos").cast("bigint").alias("pos"), prechunk.kind(line).alias("kind"), prechunk.is_noise(line, F.lit("붙임 1"), F.lit("② 다음")).alias("noise"))
 

@@ -197,6 +197,13 @@ _PICKED = f"""(SELECT *, row_number() OVER (PARTITION BY doc, section_type ORDER
  QUALIFY pick <= CASE section_type WHEN 'requirements' THEN 4 WHEN 'evaluation' THEN 2 WHEN 'bid_contract' THEN 2 ELSE 1 END)"""
 
 
+_CORE = f"(SELECT * FROM {_PICKED} p LEFT JOIN (SELECT doc AS cd, count(*) AS others FROM {_PICKED} WHERE section_type <> 'appendix_form' GROUP BY doc) c ON c.cd = p.doc WHERE section_type <> 'appendix_form' OR coalesce(others, 0) < 4)"
+_BODY_PICKS = f"""(SELECT * EXCLUDE (again), row_number() OVER (PARTITION BY doc ORDER BY again, score DESC, section_path, row_idx) AS pick FROM
+ (SELECT *, CAST(row_number() OVER (PARTITION BY doc, section_path ORDER BY score DESC, row_idx) > 1 AS INT) AS again FROM {_CANDS} WHERE section_type = 'body'))"""
+_BY_DOC = f"""(SELECT *, row_number() OVER (PARTITION BY doc ORDER BY list_position(['overview', 'requirements', 'evaluation', 'bid_contract', 'security', 'appendix_form', 'body'], section_type), pick, row_idx) AS rank_in_doc FROM
+ (SELECT doc, section_type, chunk_id, row_idx, pick FROM {_CORE} UNION ALL SELECT b.doc, section_type, chunk_id, row_idx, pick FROM {_BODY_PICKS} b LEFT JOIN (SELECT doc, count(*) AS had FROM {_CORE} GROUP BY doc) h ON h.doc = b.doc WHERE pick <= 4 - coalesce(had, 0)))"""
+
+
 def oracle_sql() -> dict[str, str]:
     from gleanery.operators import questions as Q
     from gleanery.plans.chunking import sql as chunking_sql
@@ -262,6 +269,10 @@ def oracle_sql() -> dict[str, str]:
         "mock_embedding": "SELECT chunk_id, round(list_sum(v), 6) AS total, round(v[1], 6) AS first FROM (SELECT chunk_id, list_transform(range(64), lambda i: (instr('0123456789abcdef', h[(i % 32) * 2 + 1]) - 1) * 16 / 255.0 * 2 + (instr('0123456789abcdef', h[(i % 32) * 2 + 2]) - 1) / 255.0 * 2 - 1) AS v FROM (SELECT chunk_id, sha256(coalesce(text, '')) AS h FROM chunks))",
         "quota_sample": f"SELECT doc, section_type, chunk_id, CAST(score AS BIGINT) AS score, pick FROM {_PICKED}",
         "sampling_summary": f"SELECT sum(k) AS n_rows, count(*) AS n_docs, min(k) AS min_per_doc, max(k) AS max_per_doc, round(avg(k), 2) AS avg_per_doc FROM (SELECT doc, count(*) AS k FROM {_PICKED} GROUP BY doc)",
+        "document_sample": f"SELECT doc, section_type, chunk_id, rank_in_doc, pick AS rank_in_section FROM {_BY_DOC}",
+        "sampling_report": f"""WITH p AS (SELECT * FROM {_BY_DOC}), k AS (SELECT doc, count(*) AS k FROM p GROUP BY doc)
+ SELECT 'rows' AS measure, CAST(sum(k) AS DOUBLE) AS value FROM k UNION ALL SELECT 'documents', CAST(count(*) AS DOUBLE) FROM k UNION ALL SELECT 'min_per_doc', CAST(min(k) AS DOUBLE) FROM k UNION ALL SELECT 'max_per_doc', CAST(max(k) AS DOUBLE) FROM k UNION ALL SELECT 'avg_per_doc', round(avg(k), 2) FROM k
+ UNION ALL SELECT 'candidates', CAST(count(*) AS DOUBLE) FROM {_CANDS} UNION ALL SELECT 'section:' || section_type, CAST(count(*) AS DOUBLE) FROM p GROUP BY section_type""",
         "stride_sample": "WITH p AS (SELECT row_idx, chunk_id, row_number() OVER (ORDER BY row_idx) - 1 AS pos, count(*) OVER () AS n FROM chunks) SELECT row_idx, chunk_id FROM p WHERE pos IN (SELECT CAST(CASE WHEN n <= 25 THEN i ELSE round_even(i * ((n - 1) / 24.0), 0) END AS BIGINT) FROM (SELECT count(*) AS n FROM chunks), range(25) t(i))",
         "question_filters": f"""SELECT eval_id, CASE WHEN {q} = '' THEN 'empty_question' WHEN regexp_matches({q}, {_q(any_(Q.OPEN_ENDED))}) THEN 'open_ended_wording' END AS open_ended, CASE WHEN {q} = '' THEN 'empty_question' WHEN regexp_matches({q}, {_q(any_(Q.INTERNAL_ID))}) THEN 'ocr_internal_id' END AS internal_id,
  contains({q}, '@') OR regexp_matches(lower({q}), {_q(Q.FORM_TOPIC)}) OR regexp_matches(lower({q}), {_q(Q.FORM_DATE)}) OR (regexp_matches(lower({q}), {_q(Q.FORM_PLACE)}) AND regexp_matches(lower({q}), {_q(Q.FORM_FIELD)})) AS about_form,

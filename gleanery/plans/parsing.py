@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators import parsing, structure
-from gleanery.session import table
+from gleanery.session import spread, table
 
 LINES_OF_PAGE = 40
 
@@ -21,7 +21,7 @@ def pdf_lines(spark, d):
 
 def pdf_records(spark, d):
     """Documents as PDF files of forty lines a page."""
-    found = structure.lines(table(spark, d, "documents"), "doc_id")
+    found = structure.lines(spread(table(spark, d, "documents")), "doc_id")
     events = found.select(F.col("doc_id").cast("string").alias("file_name"), F.col("pos").cast("bigint").alias("pos"), F.lit("line").alias("kind"), F.col("line").alias("text"), (F.floor(F.col("pos") / LINES_OF_PAGE) + 1).cast("int").alias("page_no"), F.when(F.length("line") < 12, 14.0).otherwise(10.0).alias("font_size"), F.lit(None).cast("array<array<string>>").alias("rows"))
     return parsing.pdf_records(events).drop("table")
 

@@ -10,14 +10,14 @@ from gleanery.functions.numbering import positions
 from gleanery import providers
 from gleanery.operators import metrics, ocr, pages, questions, records, sampling, search, splitters, structure
 from gleanery.plans import chunking, evaluation, parsing, reading
-from gleanery.session import table
+from gleanery.session import spread, table
 
 #: Searches take as queries every row whose id is divisible by this, against all rows.
 EVERY = 20
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks")
+    c = spread(table(spark, d, "chunks"))
     return c.select("chunk_id", "row_idx", F.col("metadata")["file_name"].alias("file_name"), "doc_id", search.search_text(F.col("doc_id"), F.col("metadata"), F.col("text")).alias("body"))
 
 
@@ -32,7 +32,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return v.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "vector", F.col("label").alias("query_label"))
+    return v.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "vector", "label")
 
 
 def _measured(spark: SparkSession, d: str) -> DataFrame:
@@ -72,9 +72,7 @@ def bm25_topk(spark, d):
 
 
 def bm25_doc_filtered(spark, d):
-    asked, index = _asked(spark, d), _index(spark, d)
-    allowed = asked.join(index.select("chunk_id", "doc_id"), "doc_id").select("query_id", "chunk_id")
-    return search.bm25(asked, index, allowed=allowed).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return search.bm25(_asked(spark, d), _index(spark, d), same="doc_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def dense_topk(spark, d):
@@ -82,7 +80,7 @@ def dense_topk(spark, d):
 
 
 def dense_filtered(spark, d):
-    hits = search.dense(_vector_queries(spark, d), _vectors(spark, d), allowed=F.col("label") == F.col("query_label"))
+    hits = search.dense(_vector_queries(spark, d), _vectors(spark, d), same="label")
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -170,23 +168,23 @@ def successes(spark, d):
 
 
 def split_baseline(spark, d):
-    return splitters.split(table(spark, d, "documents"), "doc_id")
+    return splitters.split(spread(table(spark, d, "documents")), "doc_id")
 
 
 def split_oversized(spark, d):
-    return splitters.split(table(spark, d, "documents"), "doc_id", method="oversized")
+    return splitters.split(spread(table(spark, d, "documents")), "doc_id", method="oversized")
 
 
 def split_section(spark, d):
-    return splitters.split(table(spark, d, "documents"), "doc_id", method="section")
+    return splitters.split(spread(table(spark, d, "documents")), "doc_id", method="section")
 
 
 def split_paragraph(spark, d):
-    return splitters.split(table(spark, d, "documents"), "doc_id", method="paragraph")
+    return splitters.split(spread(table(spark, d, "documents")), "doc_id", method="paragraph")
 
 
 def chunked_documents(spark, d):
-    return splitters.chunk_documents(table(spark, d, "documents"))
+    return splitters.chunk_documents(spread(table(spark, d, "documents")))
 
 
 def chunk_summary(spark, d):
@@ -212,12 +210,24 @@ def mock_embedding(spark, d):
 
 
 def quota_sample(spark, d):
-    picked = sampling.by_quota(sampling.candidates(table(spark, d, "chunks")))
+    picked = sampling.by_quota(sampling.candidates(spread(table(spark, d, "chunks"))))
     return picked.select("doc", "section_type", "chunk_id", F.col("score").cast("bigint").alias("score"), F.col("pick").cast("bigint").alias("pick"))
 
 
 def sampling_summary(spark, d):
-    return sampling.sampling_summary(sampling.by_quota(sampling.candidates(table(spark, d, "chunks"))))
+    return sampling.sampling_summary(sampling.by_quota(sampling.candidates(spread(table(spark, d, "chunks")))))
+
+
+def sampling_report(spark, d):
+    """What a sample with appendix forms and body text for sparse documents holds."""
+    cands = sampling.candidates(spread(table(spark, d, "chunks")))
+    return sampling.sampling_report(cands, sampling.by_document(cands, least=4))
+
+
+def document_sample(spark, d):
+    """The sample itself, ranked in each document."""
+    picked = sampling.by_document(sampling.candidates(spread(table(spark, d, "chunks"))), least=4)
+    return picked.select("doc", "section_type", "chunk_id", F.col("rank_in_doc").cast("bigint").alias("rank_in_doc"), F.col("rank_in_section").cast("bigint").alias("rank_in_section"))
 
 
 def stride_sample(spark, d):
@@ -240,7 +250,7 @@ def gold_validity(spark, d):
 
 
 def _headed(spark, d) -> DataFrame:
-    found = structure.lines(table(spark, d, "documents"), "doc_id").withColumn("h", structure.heading(F.col("line")))
+    found = structure.lines(spread(table(spark, d, "documents")), "doc_id").withColumn("h", structure.heading(F.col("line")))
     return found.select("doc_id", "pos", "line", F.col("h.level").alias("level"), F.col("h.title").alias("title"))
 
 
@@ -350,7 +360,7 @@ NAMES = [
     text_normalised, text_clean_block, text_keys, search_tokens, html_text, durations, bm25_corpus_stats, bm25_term_df, bm25_topk, bm25_doc_filtered, dense_topk, dense_filtered,
     hybrid_rrf, hybrid_threshold, hybrid_minmax, reranked, context_budget, last_turns, doc_scope, documents_of_files, retrieval_metrics, answer_bundle, answer_match, harness_summary, report_levels,
     task_outcomes, failure_counts, failures_top, successes, split_baseline, split_oversized, split_section, split_paragraph, chunked_documents, chunk_summary, slim_projection, merged_ids,
-    mock_embedding, quota_sample, sampling_summary, stride_sample, question_filters, question_overlap, gold_validity, headings, heading_paths, section_types, table_shapes,
+    mock_embedding, quota_sample, sampling_summary, sampling_report, document_sample, stride_sample, question_filters, question_overlap, gold_validity, headings, heading_paths, section_types, table_shapes,
     table_row_groups, record_runs, ocr_errors, ocr_fields, ocr_summary, chat_facets, record_chunks, record_table_groups, html_grids, page_events_filled,
 ]
 

@@ -26,3 +26,9 @@ def local_session(cores: int | str = 8, app: str = "gleanery", **conf: str) -> S
 def table(spark: SparkSession, directory: str, name: str):
     """One of the parquet tables of a data directory."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def spread(df):
+    """A scanned table over all cores where its files give fewer partitions, as small ones do; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
