@@ -78,6 +78,7 @@ class _Grid(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
         self.cells: dict[tuple[int, int], str] = {}
+        self.rows: dict[int, list[dict]] = {}
         self.row, self.open, self.text = -1, None, []
 
     def handle_starttag(self, tag, attrs):
@@ -106,6 +107,7 @@ class _Grid(HTMLParser):
             while (self.row, col) in self.cells:
                 col += 1
             value = " ".join("".join(self.text).split())
+            self.rows.setdefault(self.row, []).append({"start": col, "end": col + self.open[1] - 1, "text": value})
             for r in range(self.open[0]):
                 for c in range(self.open[1]):
                     self.cells.setdefault((self.row + r, col + c), value)
@@ -123,6 +125,14 @@ def html_grid(html: str | None) -> list[list[str]]:
     return [[p.cells.get((r, c), "") for c in range(cols)] for r in range(rows)]
 
 
+def html_layout(html: str | None) -> tuple[list[list[dict]], int]:
+    """The own cells of each row with the columns that they span (start, end, text), and the number of columns."""
+    p = _Grid()
+    p.feed(html or "")
+    p._close()
+    return [p.rows.get(r, []) for r in range(max(p.rows, default=-1) + 1)], max((c for _, c in p.cells), default=-1) + 1
+
+
 @F.pandas_udf(ArrayType(ArrayType(StringType())))
 def grid(html: pd.Series) -> pd.Series:
     """:func:`html_grid` for a column."""

@@ -2,24 +2,24 @@
 
 Records: file_name, pos, content_type (section_text, cover_text, toc, table), section_path
 (array), text, and for tables table_id, table_type, shape, n_cols, header (array), rows (array).
-Windows run over each file in order and spill; only one section or one table at a time is
-put together, so a file of any length needs no task that holds it.
+Neighbours meet across range partitions (``functions.islands``); only one section or one
+table at a time is put together, so a file of any length needs no task that holds it.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from gleanery.functions import text as T
+from gleanery.functions.islands import scan
 from gleanery.functions.numbering import positions
+from gleanery.operators import tables
 from gleanery.operators.splitters import pack_rows, section
 
-SHORT, GAP = 140, 40
-# Table types that may continue each other.
-OPEN_TYPES = ["data_table", "schedule_table", "requirement_table", "evaluation_table"]
+SHORT = 140
 
 
 def table_groups(records: DataFrame) -> DataFrame:
@@ -29,21 +29,8 @@ def table_groups(records: DataFrame) -> DataFrame:
     equal or both open, headers (if both have one) overlap by half, and only blank or short
     text lies between.  Other records have nulls.
     """
-    order = Window.partitionBy("file_name").orderBy("pos")
-    short = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "")) <= GAP
-    blocks = (F.col("content_type") != "table") & ~(F.col("content_type").isin("section_text", "cover_text", "toc") & short)
-    counted = records.withColumn("__b", F.sum(blocks.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    tables = counted.where("content_type = 'table'")
-    lag = lambda c: F.lag(c).over(order)
-    both = (F.size("header") > 0) & (F.size(lag("header")) > 0)
-    alike = F.when(both, F.size(F.array_intersect("header", lag("header"))) >= 0.5 * F.least(F.size("header"), F.size(lag("header")))).otherwise(True)
-    types = lag("table_type").eqNullSafe(F.col("table_type")) | (F.col("table_type").isin(OPEN_TYPES) & lag("table_type").isin(OPEN_TYPES))
-    on = lag("section_path").eqNullSafe(F.col("section_path")) & (lag("n_cols") == F.col("n_cols")) & (F.col("n_cols") > 0) & types & (lag("__b") == F.col("__b")) & F.coalesce(alike, F.lit(True))
-    flagged = tables.withColumn("__on", F.coalesce(on, F.lit(False)))
-    flagged = flagged.withColumn("__g", F.sum((~F.col("__on")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.count(F.lit(1)).over(Window.partitionBy("file_name", "__g"))
-    group = F.when(size > 1, F.concat_ws(":", F.col("file_name"), F.col("__g").cast("string")))
-    marks = flagged.select(F.col("file_name").alias("__f"), F.col("pos").alias("__p"), group.alias("group"), F.when(size > 1, F.when(F.col("__on"), "continued").otherwise("start")).alias("role"))
+    found = tables.continued(records.where("content_type = 'table'").drop("text", "rows"), records.where("content_type <> 'table'").select("file_name", "pos", "content_type", "text"))
+    marks = found.select(F.col("file_name").alias("__f"), F.col("pos").alias("__p"), "group", "role")
     return records.join(marks, F.col("file_name").eqNullSafe(F.col("__f")) & (F.col("pos") == F.col("__p")), "left").drop("__f", "__p")
 
 
@@ -63,23 +50,24 @@ def chunks(records: DataFrame, size: int = 1200, overlap: int = 150, least: int
     def packs(rows: pd.Series) -> pd.Series:
         return rows.map(lambda r: ["\n".join(p) for p in pack_rows([x for x in r if x], table_size, most_rows)] if r is not None else [])
 
-    order = Window.partitionBy("file_name").orderBy("pos")
-    same = F.lag("content_type").over(order).eqNullSafe(F.col("content_type")) & F.lag("section_path").over(order).eqNullSafe(F.col("section_path")) & (F.col("content_type") != "table")
-    marked = records.withColumn("island", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bucket = F.when(F.col("content_type") != "table", F.to_json(F.struct("content_type", "section_path")))
+    seen = scan(records.withColumn("__k", bucket), ["file_name"], ["pos"], lag=["__k"])
+    flagged = seen.withColumn("__new", F.when(F.coalesce(F.col("__k") == F.col("prev___k"), F.lit(False)), 0).otherwise(1)).drop("__k", "prev___k")
+    marked = scan(flagged, ["file_name"], ["pos"], total=["__new"]).withColumnRenamed("upto___new", "island")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n\n")
     first = lambda c: F.min_by(c, "pos").alias(c)
     islands = marked.groupBy("file_name", "island").agg(F.min("pos").alias("start"), first("content_type"), first("section_path"), first("table_id"), first("table_type"), first("shape"), first("rows"), T.clean_block(body).alias("body"))
-    w = Window.partitionBy("file_name").orderBy("start")
-    after = F.lead(F.struct("content_type", "table_id", "table_type", "shape")).over(w)
-    before = F.lag(F.struct("content_type", "body")).over(w)
-    seen = islands.withColumn("after", after).withColumn("before", before).withColumn("context", F.when((F.col("before.content_type") != "table") & (F.length("before.body") <= SHORT), F.col("before.body")))
+    told = islands.withColumn("me", F.struct("content_type", "body", "table_id", "table_type", "shape"))
+    seen = scan(told, ["file_name"], ["start"], lag=["me"]).withColumnRenamed("prev_me", "before").withColumn("back", -F.col("start"))
+    seen = scan(seen, ["file_name"], ["back"], lag=["me"]).withColumnRenamed("prev_me", "after").drop("me", "back")
+    seen = seen.withColumn("context", F.when((F.col("before.content_type") != "table") & (F.length("before.body") <= SHORT), F.col("before.body")))
     low = F.length(T.compact(F.col("body"))) == 0
     texts = seen.where((F.col("content_type") != "table") & ~low & ~F.coalesce((F.col("after.content_type") == "table") & (F.length("body") <= SHORT), F.lit(False)) & ~T.compact(F.col("body")).isin("목차", "차례", "tableofcontents"))
     name = F.concat(F.lit("[next table: "), F.concat_ws(", ", "after.table_id", "after.table_type", "after.shape"), F.lit("]"))
     parts = texts.select("file_name", "start", "section_path", F.when(F.col("content_type") == "cover_text", "cover_text").otherwise("section_text").alias("chunk_type"), F.lit(None).cast("string").alias("table_id"), cut("body").alias("p"), F.when(F.col("after.content_type") == "table", name).alias("tail"), F.lit(None).cast("string").alias("context"))
     rows = F.coalesce("rows", F.array().cast("array<string>"))
-    tables = seen.where("content_type = 'table'").select("file_name", "start", "section_path", F.concat(F.when(F.size(rows) > 0, "table_rows/").otherwise("table_markdown/"), F.coalesce("table_type", F.lit("data"))).alias("chunk_type"), "table_id", F.when(F.size(rows) > 0, packs(rows)).otherwise(cut("body")).alias("p"), F.lit(None).cast("string").alias("tail"), "context")
-    spread = parts.unionByName(tables).select("*", F.posexplode("p").alias("part", "piece"))
+    grids = seen.where("content_type = 'table'").select("file_name", "start", "section_path", F.concat(F.when(F.size(rows) > 0, "table_rows/").otherwise("table_markdown/"), F.coalesce("table_type", F.lit("data"))).alias("chunk_type"), "table_id", F.when(F.size(rows) > 0, packs(rows)).otherwise(cut("body")).alias("p"), F.lit(None).cast("string").alias("tail"), "context")
+    spread = parts.unionByName(grids).select("*", F.posexplode("p").alias("part", "piece"))
     path = F.array_join(F.coalesce("section_path", F.array().cast("array<string>")), " > ")
     last = F.when(F.col("part") == F.size("p") - 1, F.col("tail"))
     text = F.concat_ws("\n\n", F.nullif(F.concat_ws("\n", F.col("file_name"), F.nullif(path, F.lit(""))), F.lit("")), F.when(F.length("context") > 0, F.col("context")), "piece", last)

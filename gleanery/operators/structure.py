@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.functions.islands import scan
 
 # Section types by the words of a heading path, in this order.
 SECTIONS = [("overview", r"사업\s*개요|사업안내|목표|추진\s*배경"), ("requirements", r"과업|요구사항|제안\s*요청|수행\s*범위"), ("security", "보안|개인정보|접근권한|암호화"), ("evaluation", "평가|배점|협상"), ("bid_contract", "입찰|계약|공모|제출"), ("appendix_form", "붙임|서식|양식")]
@@ -93,9 +94,6 @@ def row_groups(rows: DataFrame, size: int = 10) -> DataFrame:
 
 def runs(df: DataFrame, by: list[str], key: str, pos: str) -> DataFrame:
     """(key, island, n, first_pos, *by): consecutive records of equal ``by``, as islands."""
-    w = Window.partitionBy(key).orderBy(pos)
-    same = F.lit(True)
-    for c in by:
-        same &= F.lag(c).over(w).eqNullSafe(F.col(c))
-    flagged = df.withColumn("new", F.when(F.lag(pos).over(w).isNotNull() & same, 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return flagged.groupBy(key, "island", *by).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first_pos"))
+    seen = scan(df.withColumn("__k", F.to_json(F.struct(*by))), [key], [pos], lag=["__k"])
+    flagged = seen.withColumn("__new", F.when(F.col("__k").eqNullSafe(F.col("prev___k")), 0).otherwise(1)).drop("__k", "prev___k")
+    return scan(flagged, [key], [pos], total=["__new"]).groupBy(key, F.col("upto___new").alias("island"), *by).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first_pos"))

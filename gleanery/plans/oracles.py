@@ -200,8 +200,9 @@ _PICKED = f"""(SELECT *, row_number() OVER (PARTITION BY doc, section_type ORDER
 _CORE = f"(SELECT * FROM {_PICKED} p LEFT JOIN (SELECT doc AS cd, count(*) AS others FROM {_PICKED} WHERE section_type <> 'appendix_form' GROUP BY doc) c ON c.cd = p.doc WHERE section_type <> 'appendix_form' OR coalesce(others, 0) < 4)"
 _BODY_PICKS = f"""(SELECT * EXCLUDE (again), row_number() OVER (PARTITION BY doc ORDER BY again, score DESC, section_path, row_idx) AS pick FROM
  (SELECT *, CAST(row_number() OVER (PARTITION BY doc, section_path ORDER BY score DESC, row_idx) > 1 AS INT) AS again FROM {_CANDS} WHERE section_type = 'body'))"""
-_BY_DOC = f"""(SELECT *, row_number() OVER (PARTITION BY doc ORDER BY list_position(['overview', 'requirements', 'evaluation', 'bid_contract', 'security', 'appendix_form', 'body'], section_type), pick, row_idx) AS rank_in_doc FROM
- (SELECT doc, section_type, chunk_id, row_idx, pick FROM {_CORE} UNION ALL SELECT b.doc, section_type, chunk_id, row_idx, pick FROM {_BODY_PICKS} b LEFT JOIN (SELECT doc, count(*) AS had FROM {_CORE} GROUP BY doc) h ON h.doc = b.doc WHERE pick <= 4 - coalesce(had, 0)))"""
+_BY_DOC = f"""(WITH core AS MATERIALIZED {_CORE}, body AS MATERIALIZED {_BODY_PICKS}, had AS MATERIALIZED (SELECT doc AS hd, count(*) AS had FROM core GROUP BY doc)
+ SELECT *, row_number() OVER (PARTITION BY doc ORDER BY list_position(['overview', 'requirements', 'evaluation', 'bid_contract', 'security', 'appendix_form', 'body'], section_type), pick, row_idx) AS rank_in_doc FROM
+ (SELECT doc, section_type, chunk_id, row_idx, pick FROM core UNION ALL SELECT doc, section_type, chunk_id, row_idx, pick FROM body LEFT JOIN had ON hd = doc WHERE pick <= 4 - coalesce(had, 0)))"""
 
 
 def oracle_sql() -> dict[str, str]:

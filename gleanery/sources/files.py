@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 from gleanery.functions import text as T
 from gleanery.functions.numbering import positions
 
-#: Names that the column of file names may have in metadata tables.
-FILE_COLUMNS = ["file_name", "filename", "file", "path", "source_file", "파일명", "파일"]
+# Names that the column of file names may have in metadata tables, in this order.
+FILE_COLUMNS = ["file_path", "filepath", "path", "file_name", "filename", "파일명", "문서명"]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -26,20 +26,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, strict: bool = False) -> DataFrame:
     """JSON lines with a schema; blank lines are skipped, a missing path gives no rows.
 
-    ``strict`` fails on the first malformed line, else its fields are null.
+    ``strict`` fails on a malformed line and names it with the offset of its block in the
+    file, else its fields are null.
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+    if not strict:
+        return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"))
+    marked = StructType(kind.fields).add("__bad", "string")
+    row = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    told = F.concat(F.lit("malformed line in "), F.col("f"), F.lit(" after byte "), F.col("at").cast("string"), F.lit(": "), F.left("value", F.lit(200)))
+    checked = lines.withColumn("r", row).withColumn("r", F.when(F.col("r").isNull() | F.col("r.__bad").isNotNull(), F.raise_error(told).cast(marked)).otherwise(F.col("r")))
+    return checked.select("r.*").drop("__bad")
 
 
 def write_json_lines(df: DataFrame, path: str, order: list[str] | None = None, limit: int | None = None) -> None:
-    """JSON lines, null fields left out; ``order`` sorts across files, ``limit`` keeps the first rows of that order."""
+    """JSON lines, null fields kept; ``order`` sorts across files, ``limit`` keeps the first rows of that order."""
     if limit is not None:
         df = df.orderBy(*(order or [])).limit(limit) if order else df.limit(limit)
     elif order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def _decoded(text: str) -> Iterator[object]:
@@ -97,16 +106,38 @@ def file_column(df: DataFrame) -> str | None:
     return next((c for c in FILE_COLUMNS if c in df.columns), None)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """A folder of CSV files with headers; ``columns`` chooses and orders them, missing ones are empty."""
+    df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]) if columns else df
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def discover(spark: SparkSession, folder: str, suffixes: list[str] | None = None, recursive: bool = True) -> DataFrame:
-    """(path, name, stem, suffix, length) of the files of a folder, without their contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path", "length")
+def export_csv(df: DataFrame, path: str, columns: list[str] | None = None, most: int = 1_000_000) -> None:
+    """One CSV file with a byte-order mark, as spreadsheets expect: for reports of at most ``most`` rows, more fail."""
+    import csv
+
+    names = columns or df.columns
+    rows = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in names]).limit(most + 1)
+    with open(path, "w", encoding="utf-8-sig", newline="") as f:
+        writer = csv.writer(f)
+        writer.writerow(names)
+        for n, row in enumerate(rows.toLocalIterator()):
+            if n == most:
+                raise ValueError(f"more than {most} rows; use write_csv")
+            writer.writerow(["" if v is None else "|".join(map(str, v)) if isinstance(v, list) else v for v in row])
+
+
+def discover(spark: SparkSession, folder: str, suffixes: list[str] | None = None, recursive: bool = True, pattern: str | None = None) -> DataFrame:
+    """(path, name, stem, suffix, length, pos) of the files of a folder, without their contents; ``pattern`` is a glob of names.
+
+    ``pos`` counts them by path without regard to case.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder).select("path", "length")
     name = F.regexp_extract("path", "([^/]+)$", 1)
     out = files.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("suffix"), "length")
-    return out.where(F.col("suffix").isin([s.lower() for s in suffixes])) if suffixes else out
+    out = out.where(F.col("suffix").isin([s.lower() for s in suffixes])) if suffixes else out
+    return positions(out.withColumn("__k", T.casefold(F.col("path"))), [], ["__k", "path"], "pos", 0).drop("__k")
 
 
 def plain_text(content: bytes) -> str:
@@ -139,9 +170,16 @@ def load_documents(spark: SparkSession, folder: str, metadata: DataFrame | None
     if metadata is None or (column := file_column(metadata)) is None:
         return docs.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("doc_id"), "path", "text", "error", empty.alias("metadata"))
     packed = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in metadata.columns]), F.array(*[F.col(c).cast("string") for c in metadata.columns])), lambda _k, v: v.isNotNull())
-    rows = metadata.where(F.col(column).isNotNull()).select(F.regexp_extract(column, "([^/]+)$", 1).alias("m_name"), packed.alias("m"))
-    once = rows.groupBy("m_name").agg(F.min_by("m", F.to_json("m")).alias("m"))
-    joined = docs.join(once, F.col("name") == F.col("m_name"), "left").withColumn("m", F.coalesce("m", empty))
+    # the path as a whole, relative ones below the folder; of several rows for one file the first by content
+    root = docs.withColumn("rel", F.regexp_replace("path", r"^[a-z]+:/*", "/"))
+    rows = metadata.where(F.col(column).isNotNull()).select(F.regexp_replace(F.trim(F.col(column)), r"^(?:[a-z]+:/+|\\./)", "").alias("given"), packed.alias("m"))
+    rows = rows.groupBy("given").agg(F.min_by("m", F.to_json("m")).alias("m"))
+    depth = F.size(F.split("given", "/"))
+    ends = rows.select("given", "m", depth.alias("depth"), F.regexp_extract("given", "([^/]+)$", 1).alias("m_name"))
+    met = root.join(ends, F.col("name") == F.col("m_name"), "left")
+    whole = (F.col("given").contains("/")) & F.expr("endswith(rel, concat('/', ltrim('/', given)))")
+    best = met.groupBy("path", "text", "error", "name").agg(F.min_by("m", F.struct(F.when(whole, -F.col("depth")).otherwise(0), F.to_json("m"))).alias("m"))
+    joined = best.withColumn("m", F.coalesce("m", empty))
     doc_id = F.coalesce(F.col("m")["doc_id"], F.col("m")["id"], F.regexp_replace("name", r"\.[^.]*$", ""))
     return joined.select(doc_id.alias("doc_id"), "path", "text", "error", F.col("m").alias("metadata"))
 
@@ -173,13 +211,47 @@ def merge_embedded(parts: dict[str, DataFrame]) -> DataFrame:
 
     from gleanery.operators.splitters import merged_ids
 
-    tagged = [df.withColumn("source", F.lit(name)).withColumn("pos", F.monotonically_increasing_id()) for name, df in sorted(parts.items())]
+    # rows of one source and id are told apart by their content, which does not change from run to run
+    tagged = [df.withColumn("source", F.lit(name)).withColumn("pos", F.xxhash64(*[F.to_json(F.struct(c)) for c in df.columns])) for name, df in sorted(parts.items())]
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     if whole.agg(F.countDistinct(F.size("embedding")).alias("n")).first()["n"] > 1:
         raise ValueError("vectors of several sizes")
     return merged_ids(whole)
 
 
+def append_index(chunks: DataFrame, path: str, rows: int = 4096) -> int:
+    """Add embedded chunks to an index table, numbered on; returns the number of its rows.  Files hold about ``rows`` rows.
+
+    The vectors must have the size of those that are there; ids that are there already fail.
+    """
+    spark = chunks.sparkSession
+    there = load_index(spark, path)
+    size = there.select(F.size("embedding").alias("n")).limit(1).collect()
+    facts = chunks.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
+    if facts["n"] and (facts["lo"] != facts["hi"] or size and size[0]["n"] != facts["hi"]):
+        raise ValueError("vectors of several sizes")
+    if not chunks.join(there.select("chunk_id"), "chunk_id", "left_semi").isEmpty():
+        raise ValueError("ids that the index has already")
+    start = there.agg(F.coalesce(F.max("row_idx") + 1, F.lit(0)).alias("n")).first()["n"]
+    placed = positions(chunks.drop("row_idx"), [], ["chunk_id"], "row_idx", start)
+    placed.select(*there.columns).write.mode("append").option("maxRecordsPerFile", rows).parquet(path)
+    return start + facts["n"]
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index table; one that is missing fails with its path."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    return spark.read.parquet(path)
+
+
+def chunk_files(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
+    """The rows of several JSON-lines files or folders, each file once however often it is named, with ``source_file``."""
+    there = sorted({p for p in paths if _exists(spark, p)})
+    rows = spark.read.schema(schema).json(there) if there else spark.createDataFrame([], schema)
+    return rows.withColumn("source_file", F.input_file_name())
+
+
 def image_kind(content: Column) -> Column:
     """The kind of an image by its first bytes, null if unknown."""
     hexed = F.hex(F.substring(content, 1, 8))

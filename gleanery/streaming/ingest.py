@@ -19,11 +19,14 @@ def document_stream(spark: SparkSession, folder: str, schema: str = "doc_id stri
 
 
 def ingest(documents: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
-    """Split every new document and append its chunks to ``out``; ends when all present files are done."""
+    """Split every new document and add its chunks to ``out``, a partition per micro-batch; ends when all present files are done.
+
+    A batch that is tried again replaces its own partition, so nothing is written twice.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         once = batch.dropDuplicates(["doc_id", "text"])
-        split(once, "doc_id", **options).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        split(once, "doc_id", **options).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return documents.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
