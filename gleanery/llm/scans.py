@@ -170,14 +170,14 @@ class _Keys:
         return out
 
 
-def _groups(lines: list[str], fit: list[int], active: set[int]) -> tuple[list[list[int]], list[str]]:
+def _groups(lines: list[str], fit: list[int], active: set[int], plain: dict[int, str] | None = None) -> tuple[list[list[int]], list[str]]:
     """Lines by the first line that they are like, and the keys of those; every line is compared with all of them.
 
     Only groups with a line of ``active`` count, so where none of these is like another
     line, each line is a group of its own.
     """
-    plain = {i: _plain(lines[i]) for i in fit}
-    times = Counter(plain.values())
+    plain = plain or {i: _plain(lines[i]) for i in fit}
+    times = Counter(plain[i] for i in fit)
     distinct = list(times)
     number = {k: n for n, k in enumerate(distinct)}
     asked = {plain[i] for i in fit if i in active}
@@ -215,8 +215,9 @@ def running_lines(lines: list[str], numbers: set[int]) -> set[int]:
         for k in range(place[i] - 2, place[i] + 3):
             if 0 <= k < len(filled):
                 near.add(filled[k])
-    fit = [i for i in filled if i not in numbers and 3 <= len(lines[i].strip("\f \t\r")) <= 90 and len(_plain(lines[i])) >= 2 and not lines[i].rstrip().endswith(("다.", "요."))]
-    groups, keys = _groups(lines, fit, near | {i for i in fit if i not in near and _interrupts(lines, filled, place[i], numbers) and not re.match(r"[a-zà-ÿ]", lines[i].strip("\f \t"))})
+    plain = {i: _plain(lines[i]) for i in filled if i not in numbers and 3 <= len(lines[i].strip("\f \t\r")) <= 90 and not lines[i].rstrip().endswith(("다.", "요."))}
+    fit = [i for i, key in plain.items() if len(key) >= 2]
+    groups, keys = _groups(lines, fit, near | {i for i in fit if i not in near and _interrupts(lines, filled, place[i], numbers) and not re.match(r"[a-zà-ÿ]", lines[i].strip("\f \t"))}, plain)
     out: set[int] = set()
     for g, key in zip(groups, keys):
         barred = bool(re.fullmatch(r"\s*==\s.*\s==\s*", lines[g[0]].strip("\f")))
@@ -224,7 +225,7 @@ def running_lines(lines: list[str], numbers: set[int]) -> set[int]:
         apart = all(place[b] - place[a] > 1 for a, b in zip(g, g[1:]))
         if len(g) > 1 and apart and not any(_ITEM.match(lines[i]) and not barred and not re.fullmatch(r"\s*\[[^\]]+\]\s*", lines[i]) for i in g):
             inner = [i for i in g if _interrupts(lines, filled, place[i], numbers | set(g)) and not re.match(r"[a-zà-ÿ]", lines[i].strip("\f \t"))]
-            same = len(inner) >= 2 and (len(key) >= 8 or len(g) > 3) and SequenceMatcher(None, _plain(lines[inner[0]]), _plain(lines[inner[1]]), autojunk=False).ratio() >= 0.85
+            same = len(inner) >= 2 and (len(key) >= 8 or len(g) > 3) and SequenceMatcher(None, plain[inner[0]], plain[inner[1]], autojunk=False).ratio() >= 0.85
             if len(edge) >= 2 or (edge and inner) or same or (inner and barred):
                 title = g[0] if place[g[0]] <= 1 and len(g) > 1 and g[0] not in near and len(key) > 12 and not lines[g[0]].startswith("\f") else None
                 out |= set(g) - {title}
@@ -234,7 +235,7 @@ def running_lines(lines: list[str], numbers: set[int]) -> set[int]:
     if head is not None:  # a title that comes again cut short
         whole = _plain(lines[head])
         for i in fit:
-            k = _plain(lines[i])
+            k = plain[i]
             if i != head and i not in out and len(k) >= 8 and len(k) < len(whole) and (whole.endswith(k) or whole.startswith(k)) and (i in near or _interrupts(lines, filled, place[i], numbers) and not re.match(r"[a-zà-ÿ]", lines[i].strip("\f \t"))):
                 out.add(i)
     return out
