@@ -148,13 +148,13 @@ def canonical_texts(items: DataFrame) -> DataFrame:
     return in_duck(cols, f"SELECT rec_kind, rec_id, {canonical_sql('text')} AS text FROM part", "rec_kind string, rec_id string, text string", "text")
 
 
-def look_alikes(items: DataFrame) -> DataFrame:
-    """All pairs of records of one kind whose texts differ as strings and look the same.
+def _members(items: DataFrame) -> DataFrame:
+    """(rec_kind, rec_id, stored, form) of the records whose form occurs in several spellings.
 
     Only fingerprints (MD5 of the stored and of the one form) leave the partitions.  Forms
     that occur in one spelling only, exact copies in any number included, are dropped by a
     partially aggregated group-by before anything is joined; null texts and texts without
-    a visible character are no records.  The result holds all pairs of a group, as defined.
+    a visible character are no records.
     """
     sql = f"""SELECT rec_kind, rec_id, md5(text) AS stored, md5(form) AS form
               FROM (SELECT rec_kind, rec_id, text, {canonical_sql('text')} AS form FROM part WHERE text IS NOT NULL)
@@ -163,7 +163,25 @@ def look_alikes(items: DataFrame) -> DataFrame:
 
     marks = shared_table(in_duck(items.select("rec_kind", "rec_id", "text"), sql, "rec_kind string, rec_id string, stored string, form string", "text"))
     several = marks.groupBy("rec_kind", "form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("rec_kind", "form")
-    members = shared_table(marks.join(several, ["rec_kind", "form"]))
+    return shared_table(marks.join(several, ["rec_kind", "form"]))
+
+
+def look_alike_groups(items: DataFrame) -> DataFrame:
+    """(rec_kind, rec_id, class_id, n_links): each record that looks like another spelling, with the smallest id of its group and the number of records that it looks like.
+
+    One row per record, also where a group has millions of copies: counts of a group and
+    of its spellings come from partially aggregated group-bys.
+    """
+    members = _members(items)
+    spellings = members.groupBy("rec_kind", "form", "stored").agg(F.count(F.lit(1)).alias("own"), F.min("rec_id").alias("first"))
+    groups = spellings.groupBy("rec_kind", "form").agg(F.sum("own").alias("n"), F.min("first").alias("class_id"))
+    told = spellings.join(groups, ["rec_kind", "form"]).select("rec_kind", "stored", "class_id", (F.col("n") - F.col("own")).alias("n_links"))
+    return members.select("rec_kind", "rec_id", "stored").join(told, ["rec_kind", "stored"]).select("rec_kind", "rec_id", "class_id", "n_links")
+
+
+def look_alikes(items: DataFrame) -> DataFrame:
+    """All pairs of records of one kind whose texts differ as strings and look the same, as defined; :func:`look_alike_groups` gives the groups."""
+    members = _members(items)
     a = members.select("rec_kind", "form", F.col("rec_id").alias("id_a"), F.col("stored").alias("stored_a"))
     b = members.select("rec_kind", "form", F.col("rec_id").alias("id_b"), F.col("stored").alias("stored_b"))
     return a.join(b, ["rec_kind", "form"]).where("id_a < id_b AND stored_a <> stored_b").select("rec_kind", "id_a", "id_b")

@@ -123,7 +123,10 @@ def copies(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFram
     group is hot.  Rows of equal fingerprint that fail the verification are grouped anew
     by their exact content.
     """
-    kept = shared_table(marks(df, key, text))
+    return _copies(shared_table(marks(df, key, text)))
+
+
+def _copies(kept: DataFrame) -> DataFrame:
     groups = kept.groupBy("fp").agg(F.min("id").alias("id_a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = groups.join(kept.select(F.col("id").alias("id_a"), F.col("body").alias("body_a")), "id_a").select("fp", "id_a", "body_a")
     pairs = kept.select("fp", F.col("id").alias("id_b"), "body").join(first, "fp").where("id_b <> id_a")
@@ -135,9 +138,9 @@ def copies(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFram
 
 
 def collapsed(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, n_copies): one row per record, under its smallest id, with the number of its copies."""
-    ids = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"))
-    pairs = shared_table(copies(df, key, text))
+    """(key, n_copies): one row per record with a visible text, under its smallest id, with the number of its copies."""
+    kept = shared_table(marks(df, key, text))
+    pairs = shared_table(_copies(kept))
     more = pairs.groupBy(F.col("id_a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    alone = ids.join(pairs.select(F.col("id_b").alias("id")), "id", "left_anti").join(more, "id", "left")
+    alone = kept.select("id").join(pairs.select(F.col("id_b").alias("id")), "id", "left_anti").join(more, "id", "left")
     return alone.select(F.col("id").alias(key), (F.coalesce("n", F.lit(0)) + 1).alias("n_copies"))
