@@ -209,6 +209,7 @@ def oracle_sql() -> dict[str, str]:
     from gleanery.operators import questions as Q
     from gleanery.plans.chunking import sql as chunking_sql
     from gleanery.plans.evaluation import sql as evaluation_sql
+    from gleanery.plans.live import sql as live_sql
     from gleanery.plans.parsing import sql as parsing_sql
     from gleanery.plans.reading import sql as reading_sql
 
@@ -302,5 +303,6 @@ def oracle_sql() -> dict[str, str]:
         **chunking_sql(),
         **reading_sql(),
         **parsing_sql(),
+        **live_sql(),
         "chat_facets": "SELECT 'type' AS facet, coalesce(chunk_type, 'none') AS value, count(*) AS n FROM chunks GROUP BY ALL UNION ALL SELECT 'section', coalesce(metadata['section_type'], 'none'), count(*) FROM chunks GROUP BY ALL",
     }

@@ -9,7 +9,7 @@ from gleanery.functions import text as T
 from gleanery.functions.numbering import positions
 from gleanery import providers
 from gleanery.operators import metrics, ocr, pages, questions, records, sampling, search, splitters, structure
-from gleanery.plans import chunking, evaluation, parsing, reading
+from gleanery.plans import chunking, evaluation, live, parsing, reading
 from gleanery.session import spread, table
 
 #: Searches take as queries every row whose id is divisible by this, against all rows.
@@ -339,17 +339,6 @@ def record_chunks(spark, d):
     return records.chunks(_records_of(spark, d))
 
 
-def record_table_groups(spark, d):
-    marked = records.table_groups(_records_of(spark, d))
-    return marked.where("role IS NOT NULL").select("file_name", "pos", "group", "role")
-
-
-def html_grids(spark, d):
-    """Cells of the tables that stand as HTML in chunks."""
-    c = table(spark, d, "chunks").where(F.contains(F.lower("text"), F.lit("<t")))
-    return pages.grid_records(c.select("chunk_id", pages.grid("text").alias("grid")), "chunk_id")
-
-
 def page_events_filled(spark, d):
     """The last known value of each user's events of one kind, carried forward."""
     e = table(spark, d, "events").withColumn("seen", F.when(F.col("event_type") == "view", F.col("value")))
@@ -361,12 +350,12 @@ NAMES = [
     hybrid_rrf, hybrid_threshold, hybrid_minmax, reranked, context_budget, last_turns, doc_scope, documents_of_files, retrieval_metrics, answer_bundle, answer_match, harness_summary, report_levels,
     task_outcomes, failure_counts, failures_top, successes, split_baseline, split_oversized, split_section, split_paragraph, chunked_documents, chunk_summary, slim_projection, merged_ids,
     mock_embedding, quota_sample, sampling_summary, sampling_report, document_sample, stride_sample, question_filters, question_overlap, gold_validity, headings, heading_paths, section_types, table_shapes,
-    table_row_groups, record_runs, ocr_errors, ocr_fields, ocr_summary, chat_facets, record_chunks, record_table_groups, html_grids, page_events_filled,
+    table_row_groups, record_runs, ocr_errors, ocr_fields, ocr_summary, chat_facets, record_chunks, page_events_filled,
 ]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in [*NAMES, *evaluation.NAMES, *chunking.NAMES, *reading.NAMES, *parsing.NAMES]}
+    return {f.__name__: f for f in [*NAMES, *evaluation.NAMES, *chunking.NAMES, *reading.NAMES, *parsing.NAMES, *live.NAMES]}
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -134,7 +134,11 @@ def without_thoughts(c: Column) -> Column:
 
 
 def prefixed_embedding(text: Column, query: bool, provider: Embed | None = None) -> Column:
-    """The unit vector of a text with the prefix that models for search expect before queries and passages."""
-    v = embedding(F.concat(F.lit("query: " if query else "passage: "), F.coalesce(text, F.lit(""))), provider)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)).cast("float"))
+    """The unit vector of a text with the prefix that models for search expect before queries and passages; a zero vector stays zero."""
+    run, prefix = provider or hashed_vectors(), "query: " if query else "passage: "
+
+    def units(texts: list[str]) -> list[list[float]]:
+        made = run([prefix + t for t in texts])
+        return [[x / norm for x in v] if (norm := sum(x * x for x in v) ** 0.5) else v for v in made]
+
+    return embedding(F.coalesce(text, F.lit("")), units)
