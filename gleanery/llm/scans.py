@@ -32,10 +32,15 @@ SHARE, LEAST = 2e-6, 3
 KNOWN, RATIO = 5, 25
 FUZZY = 0.72
 
-# What is read for what, in Hangul and in Latin script.
+#: A confusion is learned from so many damaged words, and where the opposite one has this many times fewer.
+LEARNED, ONE_WAY = 6, 20
+#: An ending of this share of the frequent words is an ending of the language, not a misreading at a word's end.
+ENDING = 0.01
+
+# What scanners commonly read for what, for vocabularies too small to learn from, and signs that stand for letters.
 HANGUL_READ = dict(zip("디핟게무온논울률외가오르판지괴시줄섬", "다한계부은는을를의기으로관자과사출성", strict=True))
-LATIN_READ = [("c", "e"), ("f", "t"), ("q", "g"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("li", "h"), ("vv", "w"), ("0", "o"), ("1", "l"), ("5", "s"), ("6", "b"), ("6", "é"), ("@", "a"), ("!", "i"), ("|", "l")]
-SIGN_READ = [("0|", "이"), ("@", "a"), ("!", "i"), ("|", "l")]
+LATIN_READ = [("c", "e"), ("f", "t"), ("q", "g"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("li", "h"), ("vv", "w"), ("0", "o"), ("1", "l"), ("5", "s"), ("6", "b"), ("6", "é")]
+SIGNS_READ = [("@", "a"), ("!", "i"), ("|", "l")]
 DIGIT_READ = str.maketrans("OolISB", "001158")
 STRAY = "`^~|;'·"
 
@@ -275,13 +280,21 @@ class Counts:
 
 
 class Reader:
-    """Restores words by the corpus vocabulary."""
+    """Restores words by the corpus vocabulary and by confusions (read, meant): those of its corpus, or where none are given the common ones."""
 
-    def __init__(self, vocabulary: dict[str, int] | Counts, common: float = LEAST) -> None:
+    def __init__(self, vocabulary: dict[str, int] | Counts, common: float = LEAST, learned: list[tuple[str, str]] | None = None) -> None:
         self.count = lambda w: vocabulary.get(w, 0)
         self.common = lambda w: self.count(w) >= common
         self.kept: dict[str, tuple[str, bool] | None] = {}
         self.sound: set[str] = set()  # words met that need no repair
+        self.hangul: dict[str, list[str]] = {}
+        self.latin = list(SIGNS_READ)
+        for read, meant in [*HANGUL_READ.items(), *LATIN_READ] if learned is None else learned:
+            if "가" <= read <= "힣":
+                self.hangul.setdefault(read, [])
+                self.hangul[read] += [meant] if meant not in self.hangul[read] else []
+            elif (read, meant) not in self.latin:
+                self.latin.append((read, meant))
 
     def better(self, new: str, old: str) -> bool:
         n = self.count(new)
@@ -305,7 +318,7 @@ class Reader:
             if "0|" in low:
                 options = {low.replace("0|", "이")}
             for _ in range(2):
-                options |= {o[:i] + HANGUL_READ[c] + o[i + 1 :] for o in list(options) for i, c in enumerate(o) if c in HANGUL_READ}
+                options |= {o[:i] + m + o[i + 1 :] for o in list(options) for i, c in enumerate(o) for m in self.hangul.get(c, ())}
                 if len(options) > 60:
                     break
         else:
@@ -315,7 +328,7 @@ class Reader:
             for _ in range(3):
                 more = set()
                 for o in options:
-                    for a, b in LATIN_READ:
+                    for a, b in self.latin:
                         at = o.find(a)
                         while at >= 0:
                             more.add(o[:at] + b + o[at + len(a) :])
@@ -480,6 +493,34 @@ def vocabulary(items: DataFrame) -> tuple[DataFrame, int]:
     return counts, total
 
 
+def confusions(counts: DataFrame) -> list[tuple[str, str]]:
+    """(read, meant): characters, or two Latin letters, that stand for another one in damaged words of the corpus.
+
+    A word is held against words that differ from it in that one place and are RATIO times
+    as frequent; Latin ones must share four letters.  A pair of readings recurs in many words and hardly the other way round;
+    of several meanings of one word's reading the pair that recurs most counts.  Endings of
+    the language are no misreadings at a word's end.  What comes to the driver is bounded
+    by the pairs of characters in use, some hundreds.
+    """
+    words = counts.where(F.col("word").rlike("^(?:[가-힣]{2,40}|[a-zà-ÿ]*[0-9]?[a-zà-ÿ]*)$") & (F.length("word") >= 2) & F.col("word").rlike("[a-zà-ÿ가-힣]"))
+    frequent = words.where((F.col("n") >= KNOWN * RATIO // 5) & ~F.col("word").rlike("[0-9]"))
+    place = "transform(sequence(1, length(word) - {k}), i -> named_struct('key', concat(left(word, i - 1), '\u0001', substring(word, i + {m})), 'c', substring(word, i, {m}), 'end', i = length(word)))"
+    one, two = F.expr(place.format(k=0, m=1)), F.expr(place.format(k=1, m=2))
+    meant = frequent.select(F.explode(one).alias("x"), F.col("n").alias("m")).select("x.key", F.col("x.c").alias("meant"), "m")
+    latin = F.col("word").rlike("^[a-zà-ÿ]{3,}$")
+    read = words.select("word", "n", F.explode(F.when(latin, F.concat(one, two)).otherwise(one)).alias("x")).select("word", "n", "x.key", F.col("x.c").alias("read"), "x.end").where("length(key) > 4 OR key RLIKE '[가-힣]'")
+    endings = frequent.where("length(word) > 2").groupBy(F.right("word", F.lit(1)).alias("read")).agg(F.count(F.lit(1)).alias("k"))
+    usual = endings.crossJoin(F.broadcast(endings.agg(F.sum("k").alias("all")))).where(F.col("k") >= ENDING * F.col("all")).select("read", F.lit(True).alias("end"))  # one row of a total
+    pairs = read.join(meant, "key").where((F.col("m") >= RATIO * F.col("n")) & (F.col("read") != F.col("meant")))
+    pairs = shared_table(pairs.join(F.broadcast(usual), ["read", "end"], "left_anti").select("word", "read", "meant").distinct())  # at most 1 / ENDING endings
+    first = pairs.groupBy("read", "meant").agg(F.count(F.lit(1)).alias("k"))
+    best = pairs.join(first, ["read", "meant"]).groupBy("word", "read").agg(F.max_by("meant", F.struct("k", "meant")).alias("meant"))
+    own = best.groupBy("read", "meant").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LEARNED)
+    back = first.select(F.col("meant").alias("read"), F.col("read").alias("meant"), F.col("k").alias("back"))
+    kept = own.join(back, ["read", "meant"], "left").where(F.coalesce("back", F.lit(0)) * ONE_WAY <= F.col("k"))
+    return sorted((r["read"], r["meant"]) for r in kept.select("read", "meant").collect())
+
+
 def _shipped(counts: DataFrame) -> tuple[str, str]:
     """Names of the files of hashes and counts, which every executor fetches once and maps.
 
@@ -508,11 +549,11 @@ def _shipped(counts: DataFrame) -> tuple[str, str]:
 _KEPT: dict[str, Reader] = {}
 
 
-def _reader(hashes: str, counts: str, common: float) -> Reader:
+def _reader(hashes: str, counts: str, common: float, learned: list[tuple[str, str]]) -> Reader:
     """The worker's reader, kept from task to task."""
     if hashes not in _KEPT:
         _KEPT.clear()
-        _KEPT[hashes] = Reader(Counts(SparkFiles.get(hashes), SparkFiles.get(counts)), common)
+        _KEPT[hashes] = Reader(Counts(SparkFiles.get(hashes), SparkFiles.get(counts)), common, learned)
     return _KEPT[hashes]
 
 
@@ -525,6 +566,7 @@ def repaired(items: DataFrame) -> DataFrame:
     counts, total = vocabulary(items)
     hashes, ns = _shipped(counts)
     common = max(LEAST, total * SHARE)
+    learned = confusions(counts)
     names = ["page_numbers", "running_lines", "broken_words", "misread_words"]
     schema = pa.schema([("rec_kind", pa.string()), ("rec_id", pa.string()), ("scanned", pa.bool_()), *((n, pa.int32()) for n in names), ("text", pa.string())])
 
@@ -535,7 +577,7 @@ def repaired(items: DataFrame) -> DataFrame:
         from gleanery.llm.scans import _reader  # the module's own, else each task has a copy
 
         table = {ord(k): v for k, v in alike().items() if k not in "｜"} | {c: None for c in invisible() if c != 0xAD}
-        reader = _reader(hashes, ns, common)
+        reader = _reader(hashes, ns, common, learned)
         unusual = re.compile(r"[^\x09-\x7e\xa1-\xac\xae-\xff가-힣]")
         for batch in batches:
             for piece in sliced(batch, "text"):

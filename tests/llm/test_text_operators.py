@@ -139,3 +139,18 @@ def test_repetition_of_tables(spark):
     df = spark.createDataFrame([(1, line * 5), (2, fresh), (3, None), (4, ""), (5, "go " * 30), (6, fresh + " " + fresh), (7, "1. a b c d e f\n2. A, b c d e f!\n3) a b c d e f"), (8, "x" * 10_000)], "doc_id long, text string")
     assert {r["doc_id"] for r in repetition.repetitive(df).collect()} == {1, 5, 6, 7}
     assert repetition.measured(df.limit(0)).count() == 0
+
+
+def test_confusions_are_learned_from_the_corpus(spark):
+    from gleanery.llm import scans
+
+    stems = ["산업", "전산", "산출물", "생산량", "계산서", "산정표", "예산안", "정산금", "환산율", "연산기"]
+    latin = ["having", "machine", "schedule", "technical", "threshold", "shipment", "exchange", "purchase"]
+    words = [(w, 900) for w in stems + latin] + [(w.replace("산", "삼"), 4) for w in stems] + [(w.replace("h", "k", 1), 3) for w in latin] + [(w.replace("h", "ln", 1), 2) for w in latin]
+    words += [(w + "을", 500) for w in stems] + [(w + "은", 3) for w in stems] + [("계획은", 900), ("계획을", 2)]  # endings go both ways or are those of the language
+    words += [(f"목록{c}은", 400) for c in "가나다라마바사아자차카타파하거너더러머버"]
+    got = scans.confusions(spark.createDataFrame(words, "word string, n bigint"))
+    assert got == [("k", "h"), ("ln", "h"), ("삼", "산")]
+    reader = scans.Reader(dict(words), learned=got)
+    assert reader.word("생삼량")[0] == "생산량" and reader.word("Exckange")[0] == "Exchange" and reader.word("purclnase")[0] == "purchase" and reader.word("계획을") is None
+    assert scans.confusions(spark.createDataFrame([], "word string, n bigint")) == []
