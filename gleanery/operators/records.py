@@ -34,12 +34,13 @@ def table_groups(records: DataFrame) -> DataFrame:
     return records.join(marks, F.col("file_name").eqNullSafe(F.col("__f")) & (F.col("pos") == F.col("__p")), "left").drop("__f", "__p")
 
 
-def chunks(records: DataFrame, size: int = 1200, overlap: int = 150, least: int = 80, table_size: int = 1200, most_rows: int = 30) -> DataFrame:
+def chunks(records: DataFrame, size: int = 1200, overlap: int = 150, least: int = 80, table_size: int = 1200, most_rows: int = 30, legacy: bool = False) -> DataFrame:
     """(chunk_id, file_name, pos, part, chunk_type, section_path_text, table_id, text): chunks numbered over all files.
 
     Text of one section in a row is one text; of at most SHORT characters before a table it
     becomes that table's context; before a table its last chunk names the table.  Tables give
     chunks of packed rows, or of their text if they have no rows.  Blank sections give none.
+    ``legacy`` leaves out the names of tables, as older chunks do.
     """
 
     @F.pandas_udf(ArrayType(StringType()))
@@ -64,7 +65,7 @@ def chunks(records: DataFrame, size: int = 1200, overlap: int = 150, least: int
     low = F.length(T.compact(F.col("body"))) == 0
     texts = seen.where((F.col("content_type") != "table") & ~low & ~F.coalesce((F.col("after.content_type") == "table") & (F.length("body") <= SHORT), F.lit(False)) & ~T.compact(F.col("body")).isin("목차", "차례", "tableofcontents"))
     name = F.concat(F.lit("[next table: "), F.concat_ws(", ", "after.table_id", "after.table_type", "after.shape"), F.lit("]"))
-    parts = texts.select("file_name", "start", "section_path", F.when(F.col("content_type") == "cover_text", "cover_text").otherwise("section_text").alias("chunk_type"), F.lit(None).cast("string").alias("table_id"), cut("body").alias("p"), F.when(F.col("after.content_type") == "table", name).alias("tail"), F.lit(None).cast("string").alias("context"))
+    parts = texts.select("file_name", "start", "section_path", F.when(F.col("content_type") == "cover_text", "cover_text").otherwise("section_text").alias("chunk_type"), F.lit(None).cast("string").alias("table_id"), cut("body").alias("p"), (F.lit(None).cast("string") if legacy else F.when(F.col("after.content_type") == "table", name)).alias("tail"), F.lit(None).cast("string").alias("context"))
     rows = F.coalesce("rows", F.array().cast("array<string>"))
     grids = seen.where("content_type = 'table'").select("file_name", "start", "section_path", F.concat(F.when(F.size(rows) > 0, "table_rows/").otherwise("table_markdown/"), F.coalesce("table_type", F.lit("data"))).alias("chunk_type"), "table_id", F.when(F.size(rows) > 0, packs(rows)).otherwise(cut("body")).alias("p"), F.lit(None).cast("string").alias("tail"), "context")
     spread = parts.unionByName(grids).select("*", F.posexplode("p").alias("part", "piece"))

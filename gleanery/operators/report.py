@@ -15,6 +15,34 @@ def percent(c: Column) -> Column:
     return F.when(c.isNull(), "–").otherwise(F.format_string("%.1f%%", F.bround(c * 100, 1)))
 
 
+def whole_percent(c: Column) -> Column:
+    """A share as whole percent, halves to the even one; null as a dash."""
+    return F.when(c.isNull(), "-").otherwise(F.format_string("%d%%", F.bround(c * 100).cast("bigint")))
+
+
+def two_digits(c: Column) -> Column:
+    return F.when(c.isNull(), "-").otherwise(F.format_string("%.2f", c.cast("double")))
+
+
+def seconds(ms: Column) -> Column:
+    """Milliseconds as seconds with two digits."""
+    return F.when(ms.isNull(), "-").otherwise(F.concat(two_digits(ms / 1000), F.lit("초")))
+
+
+def mark(c: Column) -> Column:
+    """A success as a check mark, a failure as a cross; null as a dash."""
+    return F.when(c.isNull(), "-").when(c, "✓").otherwise("✗")
+
+
+def feedback(rows: DataFrame, key: str = "eval_id") -> DataFrame:
+    """(key, name, score): each score of a row between 0 and 1, as tracing tools take them; points of 5 are divided, missing ones left out."""
+    points = {c: F.col(c).cast("double") / 5 for c in ("f_score", "r_score", "s_score", "correctness_score") if c in rows.columns}
+    shares = {c: F.col(c).cast("double") for c in metrics.RETRIEVAL if c in rows.columns}
+    flags = {c: F.col(c).cast("int").cast("double") for c in ("task_success", "wrong_refusal", "appropriate_refusal") if c in rows.columns}
+    each = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("score")) for n, v in (points | shares | flags).items()])
+    return rows.select(key, F.explode(each).alias("x")).select(key, "x.name", "x.score").where("score IS NOT NULL")
+
+
 def search_blob(c: list[Column], metadata: Column) -> Column:
     """Lower-case text that a viewer searches."""
     return F.lower(F.concat_ws(" ", *c, F.to_json(metadata)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import providers
-from gleanery.operators import generation, metrics, questions
+from gleanery.operators import generation, metrics, questions, report
 from gleanery.session import table
 
 
@@ -81,7 +81,19 @@ def doc_names(spark, d):
     return c.select("row_idx", generation.doc_name(F.lit(None).cast("string"), F.coalesce("metadata", F.create_map().cast("map<string,string>")), F.concat(F.lit("data/set/"), "chunk_id", F.lit("_chunks.jsonl"))).alias("doc"))
 
 
-NAMES = [failure_table, re_enriched, question_rejects, question_verdicts, question_rewrites, rewrite_counts, question_responses, generation_inputs, doc_names]
+def report_formats(spark, d):
+    """How a report writes shares and successes, and the scores that tracing tools take."""
+    rows = metrics.answer_metrics(metrics.retrieval_metrics(table(spark, d, "eval_rows")))
+    return rows.select("eval_id", report.whole_percent(F.col("recall_at_5")).alias("recall"), report.mark(F.col("task_success")).alias("success"))
+
+
+def feedback(spark, d):
+    rows = metrics.answer_metrics(metrics.retrieval_metrics(table(spark, d, "eval_rows")))
+    out = report.feedback(rows)
+    return out.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+NAMES = [report_formats, feedback, failure_table, re_enriched, question_rejects, question_verdicts, question_rewrites, rewrite_counts, question_responses, generation_inputs, doc_names]
 
 
 def sql() -> dict[str, str]:
@@ -139,6 +151,8 @@ def sql() -> dict[str, str]:
     dedup = f"(SELECT * FROM {picked} QUALIFY coalesce(chunk_id, '') = '' OR row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY row_idx) = 1)"
     passed = "coalesce(correctness_score >= 4, NULL)"
     return {
+        "report_formats": f"SELECT eval_id, CASE WHEN recall_at_5 IS NULL THEN '-' ELSE CAST(CAST(round_even(recall_at_5 * 100, 0) AS BIGINT) AS VARCHAR) || '%' END AS recall, CASE WHEN task_success IS NULL THEN '-' WHEN task_success THEN '✓' ELSE '✗' END AS success FROM {O._M}",
+        "feedback": f"SELECT name, count(v) AS n, round(avg(v), 6) AS mean FROM (SELECT unnest(['correctness_score', 'doc_hit', 'retrieval_keyword_hit', 'context_precision', 'recall_at_5', 'mrr', 'task_success', 'wrong_refusal', 'appropriate_refusal']) AS name, unnest([correctness_score / 5.0, doc_hit, retrieval_keyword_hit, context_precision, recall_at_5, mrr, CAST(task_success AS INT), CAST(wrong_refusal AS INT), CAST(appropriate_refusal AS INT)]) AS v FROM {O._M}) WHERE v IS NOT NULL GROUP BY name",
         "question_overlap": f"SELECT eval_id AS query_id, n_words, n_known FROM {overlap}",
         "question_rejects": f"SELECT * FROM {rejects}",
         "question_verdicts": f"""SELECT r.eval_id, CASE WHEN {blank} AND gold IS NOT NULL THEN 'unanswerable_with_gold' WHEN {blank} THEN coalesce(reason, 'keep') WHEN gold IS NULL THEN 'answerable_without_gold' WHEN {q} = '' THEN 'empty_question' WHEN {open_(q)} THEN 'open_ended_wording' WHEN {internal(q)} THEN 'ocr_internal_id' ELSE 'keep' END AS verdict,

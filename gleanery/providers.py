@@ -58,6 +58,26 @@ def embedding(text: Column, provider: Embed | None = None, batch: int = 64, cap:
     return embed(text)
 
 
+#: Characters to which a text is cut when a model says that it is too long, in turn.
+LADDER = [5000, 4000, 3000, 2000, 1000]
+
+
+def shortened(provider: Embed, too_long: type[Exception] = ValueError, ladder: list[int] | None = None) -> Embed:
+    """A provider that cuts the texts of a failing batch further and further; a batch that fails at the last step fails."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        steps = ladder or LADDER
+        for n in steps:
+            try:
+                return provider([t[:n] for t in texts])
+            except too_long:
+                if n == steps[-1]:
+                    raise
+        return []
+
+    return embed
+
+
 def answer(prompt: Column, provider: Generate | None = None) -> Column:
     run = provider or first_sentences()
 
@@ -83,9 +103,17 @@ def judged(question: Column, expected: Column, given: Column, provider: Judge |
     return judge(question, expected, given)
 
 
-def prompt(question: Column, context: Column, history: Column | None = None) -> Column:
-    """Instructions, earlier turns, question, then the context after a blank line."""
-    head = F.lit("Answer from the context only; say so where it has no answer.")
+# What an answer to a type of question should look like, in our own words.
+HINTS = {"fact": "Give the one fact that is asked for.", "summary": "Sum up in a few points.", "comparison": "Set both sides against each other.", "follow_up": "Mind the earlier turns.", "requirement_detail": "Name the requirement and its details.", "unanswerable": "Say that the documents do not tell."}
+COVER_HINT = "What is asked for stands on a cover page or a form."
+
+
+def prompt(question: Column, context: Column, history: Column | None = None, question_type: Column | None = None, about_form: Column | None = None) -> Column:
+    """Instructions with hints on the type of question and on forms, earlier turns, question, then the context after a blank line."""
+    hints = F.create_map(*[x for k, v in HINTS.items() for x in (F.lit(k), F.lit(v))])
+    told = [hints[F.coalesce(question_type, F.lit(""))]] if question_type is not None else []
+    told += [F.when(about_form, COVER_HINT)] if about_form is not None else []
+    head = F.concat_ws(" ", F.lit("Answer from the context only; say so where it has no answer."), *told)
     turns = F.nullif(history, F.lit("")) if history is not None else F.lit(None)
     return F.concat(F.concat_ws("\n", head, turns, F.concat(F.lit("Question: "), F.coalesce(question, F.lit("")))), F.lit("\n\n"), F.coalesce(context, F.lit("")))
 

@@ -252,6 +252,34 @@ def chunk_files(spark: SparkSession, paths: list[str], schema: StructType | str)
     return rows.withColumn("source_file", F.input_file_name())
 
 
+def inflated(content: bytes) -> bytes | None:
+    """An image out of a stored stream: as it is, or packed with a zlib header, without one, or as gzip; null if none is an image."""
+    import zlib
+
+    signs = (b"\x89PNG", b"\xff\xd8\xff", b"GIF8", b"BM", b"II*\x00", b"MM\x00*")
+    if bytes(content[:8]).startswith(signs):
+        return bytes(content)
+    for bits in (zlib.MAX_WBITS, -zlib.MAX_WBITS, zlib.MAX_WBITS | 16):
+        try:
+            made = zlib.decompressobj(bits).decompress(bytes(content))
+        except zlib.error:
+            continue
+        if made.startswith(signs):
+            return made
+    return None
+
+
+def stored_images(streams: DataFrame) -> DataFrame:
+    """(path, content): the images among stored streams (path, content), unpacked."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = frame.assign(content=[inflated(c) if c is not None else None for c in frame["content"]])
+            yield out[out["content"].notna()]
+
+    return streams.select("path", "content").mapInPandas(run, "path string, content binary")
+
+
 def image_kind(content: Column) -> Column:
     """The kind of an image by its first bytes, null if unknown."""
     hexed = F.hex(F.substring(content, 1, 8))

@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +39,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what :func:`shared_table` wrote within it; read or write the results before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _remove(spark, path)
+
+
 def shared_table(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.  Removed when the driver ends."""
+    """Write ``df`` to the shared folder and read it back.  Removed at the end of the innermost :func:`scope`, else when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gleanery-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     atexit.register(_remove, spark, path)
     writer = df.write.option("compression", "zstd")
     if partition_by:

@@ -157,6 +157,18 @@ def test_tables_that_go_on(spark):
     assert spark.range(1).select(line).first()[0] == f"[TABLE CONTINUATION {one}] Table 2 continues from table 1. Continued to table 3."
 
 
+def test_scope_deletes_what_it_wrote(spark):
+    from gleanery import storage
+
+    with storage.scope(spark):
+        df = storage.shared_table(spark.range(5))
+        files = df.inputFiles()
+        assert df.count() == 5
+    import os
+
+    assert files and not any(os.path.exists(f.removeprefix("file://").replace("file:", "")) for f in files)
+
+
 def test_runs(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 2, "a"), ("k", 3, None), ("k", 4, None), ("k", 5, "a"), (None, 1, "a")], "k string, p int, t string")
     got = sorted((r["k"] or "", r["island"], r["n"], r["t"] or "") for r in structure.runs(df, ["t"], "k", "p").collect())

@@ -234,3 +234,27 @@ def test_files_with_equal_names(spark, tmp_path):
     with pytest.raises(Exception, match="malformed line in .*j.jsonl"):
         files.read_json_lines(spark, str(tmp_path / "j.jsonl"), "a int", strict=True).collect()
     assert [r["name"] for r in files.discover(spark, str(tmp_path / "in"), pattern="*.txt").orderBy("pos").collect()] == ["one.txt", "one.txt"]
+
+
+def test_stored_images_and_long_texts(spark):
+    import gzip
+    import zlib
+
+    png = b"\x89PNG" + b"x" * 50
+    raw = zlib.compressobj(wbits=-zlib.MAX_WBITS)
+    packed = [png, zlib.compress(png), raw.compress(png) + raw.flush(), gzip.compress(png), b"no image", zlib.compress(b"no image"), None]
+    df = spark.createDataFrame([(str(i), bytearray(c) if c is not None else None) for i, c in enumerate(packed)], "path string, content binary")
+    assert {r["path"] for r in files.stored_images(df).collect() if bytes(r["content"]) == png} == {"0", "1", "2", "3"} and files.stored_images(df).count() == 4
+    seen = []
+
+    def picky(texts):
+        seen.append(max(map(len, texts)))
+        if seen[-1] > 2500:
+            raise ValueError("too long")
+        return [[1.0]] * len(texts)
+
+    assert providers.shortened(picky)(["a" * 9000, "b"]) == [[1.0], [1.0]] and seen == [5000, 4000, 3000, 2000]
+    with pytest.raises(ValueError):
+        providers.shortened(lambda _t: picky(["a" * 9000]), ladder=[10])(["a"])
+    p = spark.range(1).select(providers.prompt(F.lit("q"), F.lit("c"), None, F.lit("fact"), F.lit(True))).first()[0]
+    assert providers.HINTS["fact"] in p and providers.COVER_HINT in p
