@@ -28,6 +28,10 @@ HASHES, ROWS, SHINGLE, SIMILAR = 32, 2, 3, 0.5
 BLOCK = 256
 #: Prompt kinds over which a template recurs, the most that one kind may hold, rows with a word of inability.
 KINDS, MOST, UNABLE = 3, 0.6, 0.5
+#: Share of a template's occurrences in responses whose other sentences say an inability too or only surround it.
+ALONE = 0.6
+#: A cluster has one wording if this part of its sentences is shared by so many of them.
+CORE, SHARED = 0.5, 0.8
 #: What is added to the shares of a shingle, and the mean log odds beyond which a rare sentence, or its end of so many characters, is worded like a template.
 ROUNDED, LIKE, LIKE_END, END = 0.01, -0.5, 0.5, 20
 #: Share of its occurrences with which a word pair ends a response, where such an end is sound.
@@ -40,6 +44,8 @@ INABILITY = re.compile(
     r"|\b(?:ne|n'|pas|aucun|aucune|impossible|désolé|sans)\b|n'|\b(?:nicht|kein|keine|leider)\b|\bno puedo\b|できません|ありません|无法|没有",
     re.I,
 )
+#: A plain no before a sentence of its own, which says no inability.
+NO_THEN = re.compile(r"^(?:No|Non)\s+(?=[A-ZÀ-Ý])")
 # Greetings, apologies and offers around a refusal.
 GREETING = re.compile(r"^(?:안녕하세요|검토 결과|죄송합니다|죄송하지만|미안합니다|감사합니다|hello|hi|bonjour|sorry|thank you|merci)?\W*$", re.I)
 FILLER = re.compile(
@@ -229,7 +235,7 @@ def features(rows: DataFrame) -> DataFrame:
                     for part in sentences(a):
                         text = LEAD.sub("", masked(part))
                         if not GREETING.match(text):
-                            units.append({"text": starred(q, text), "unable": bool(INABILITY.search(text)), "filler": bool(FILLER.search(text))})
+                            units.append({"text": starred(q, text), "unable": bool(INABILITY.search(NO_THEN.sub("", part))), "filler": bool(FILLER.search(text))})
                 words = re.sub(r"[\"“”'‘’]", "", masked(a)).split()
                 out.append((key, kind, prompt_kind(q), defect, units, words, bool(SOUND_END.search(a.rstrip()))))
             yield pd.DataFrame(out, columns=["eval_id", "question_type", "kind", "defect", "units", "words", "closed"])
@@ -343,19 +349,35 @@ def clusters(openings: DataFrame) -> DataFrame:
             return labels
 
 
+_CUT = f"array_distinct(transform(sequence(1, greatest(1, length(text) - {SHINGLE - 1})), i -> substring(text, i, {SHINGLE})))"
+
+
 def refusal_templates(counts: DataFrame) -> DataFrame:
-    """(text): sentences of clusters that recur across unrelated prompts and mostly say an inability.
+    """(text): sentences that recur across unrelated prompts and mostly say an inability: verbatim, or as clusters with one wording.
 
-    ``counts``: text, kind, n, unable, opens.  A sentence of one word is an answer, not a
+    A cluster has one wording if CORE of its sentences' shingles stand in SHARED of them;
+    clusters that are chained over the changing parts of sentences on the subject have not.
+    They mostly stand where nothing else is said: what limits an answer, and sentences on
+    the subject with such a word, stand beside others.
+    ``counts``: text, kind, n, unable, opens, alone.  A sentence of one word is an answer, not a
     template.
     """
     asked = counts.where("(opens OR unable) AND text LIKE '%_ _%'")
-    labels = clusters(asked.select("text").distinct().withColumnRenamed("text", "opening")).withColumnRenamed("opening", "text")
-    placed = counts.join(labels, "text")
-    kinds = placed.groupBy("cluster", "kind").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("unable"), F.col("n")).otherwise(0)).alias("unable"))
-    whole = kinds.groupBy("cluster").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("unable").alias("unable"))
-    good = whole.where((F.col("kinds") >= KINDS) & (F.col("most") <= MOST * F.col("n")) & (F.col("unable") >= UNABLE * F.col("n"))).select("cluster")
-    return labels.join(good, "cluster", "left_semi").select("text")
+    labels = shared_table(clusters(asked.select("text").distinct().withColumnRenamed("text", "opening")).withColumnRenamed("opening", "text"))
+
+    def recurring(placed: DataFrame, key: str) -> DataFrame:
+        kinds = placed.groupBy(key, "kind").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("unable"), F.col("n")).otherwise(0)).alias("unable"), F.sum("alone").alias("alone"))
+        whole = kinds.groupBy(key).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("unable").alias("unable"), F.sum("alone").alias("alone"))
+        return whole.where((F.col("kinds") >= KINDS) & (F.col("most") <= MOST * F.col("n")) & (F.col("unable") >= UNABLE * F.col("n")) & (F.col("alone") >= ALONE * F.col("n"))).select(key)
+
+    good = labels.join(recurring(counts.join(labels, "text"), "cluster"), "cluster", "left_semi")
+    shingles = shared_table(good.select("cluster", "text", F.explode(F.expr(_CUT)).alias("s")))
+    sizes = good.groupBy("cluster").agg(F.count(F.lit(1)).alias("texts"))
+    core = shingles.groupBy("cluster", "s").agg(F.count(F.lit(1)).alias("k")).join(sizes, "cluster").where(F.col("k") >= SHARED * F.col("texts")).select("cluster", "s", F.lit(1).alias("core"))
+    covered = shingles.join(core, ["cluster", "s"], "left").groupBy("cluster", "text").agg(F.avg(F.coalesce("core", F.lit(0))).alias("c")).groupBy("cluster").agg(F.avg("c").alias("c")).where(F.col("c") >= CORE)
+    worded = good.join(covered, "cluster", "left_semi").select("text")
+    verbatim = recurring(asked.where("unable"), "text")
+    return worded.unionByName(verbatim).distinct()
 
 
 def refusing(counts: DataFrame) -> DataFrame:
@@ -370,7 +392,7 @@ def refusing(counts: DataFrame) -> DataFrame:
     templates = shared_table(refusal_templates(counts))
     told = counts.groupBy("text").agg(F.bool_or("unable").alias("unable")).join(templates.withColumn("known", F.lit(1)), "text", "left").withColumn("known", F.coalesce("known", F.lit(0)))
     told = shared_table(told)
-    cut = F.expr(f"array_distinct(transform(sequence(1, greatest(1, length(text) - {SHINGLE - 1})), i -> substring(text, i, {SHINGLE})))")
+    cut = F.expr(_CUT)
     shingles = told.select("known", F.explode(cut).alias("s")).groupBy("s").agg(F.sum("known").alias("r"), F.sum(1 - F.col("known")).alias("m"))
     sizes = told.agg(F.sum("known").alias("rs"), F.sum(1 - F.col("known")).alias("ms"))
     odds = shingles.crossJoin(F.broadcast(sizes)).select("s", F.log((F.try_divide("r", "rs") + ROUNDED) / (F.coalesce(F.try_divide("m", "ms"), F.lit(0.0)) + ROUNDED)).alias("o"))  # one row of sizes
@@ -420,8 +442,9 @@ def defects(rows: DataFrame) -> DataFrame:
     """
     pairs = shared_table(features(rows))
     open_ = pairs.where("defect IS NULL OR defect NOT IN ('empty', 'copy')")
-    said = open_.select("eval_id", "question_type", "kind", F.posexplode("units").alias("at", "unit")).select("eval_id", "question_type", "kind", "at", "unit.*")
-    counts = shared_table(said.groupBy("text", "kind").agg(F.count(F.lit(1)).alias("n"), F.bool_or("unable").alias("unable"), F.bool_or(F.col("at") == 0).alias("opens")))
+    alone = F.forall("units", lambda u: u["unable"] | u["filler"]).alias("alone")
+    said = open_.select("eval_id", "question_type", "kind", alone, F.posexplode("units").alias("at", "unit")).select("eval_id", "question_type", "kind", "alone", "at", "unit.*")
+    counts = shared_table(said.groupBy("text", "kind").agg(F.count(F.lit(1)).alias("n"), F.bool_or("unable").alias("unable"), F.bool_or(F.col("at") == 0).alias("opens"), F.count_if("alone").alias("alone")))
     declines = said.join(refusing(counts).withColumn("declines", F.lit(True)), "text", "left").withColumn("declines", F.coalesce("declines", F.lit(False)))
     hollow = declines.where("question_type IS NULL OR question_type <> 'unanswerable'").groupBy("eval_id").agg(F.bool_or("declines").alias("some"), F.bool_and(F.col("declines") | F.col("filler")).alias("refused"))
     refused = hollow.where("some AND refused").select("eval_id", "refused")
