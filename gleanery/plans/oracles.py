@@ -197,7 +197,7 @@ _PICKED = f"""(SELECT *, row_number() OVER (PARTITION BY doc, section_type ORDER
  QUALIFY pick <= CASE section_type WHEN 'requirements' THEN 4 WHEN 'evaluation' THEN 2 WHEN 'bid_contract' THEN 2 ELSE 1 END)"""
 
 
-_CORE = f"(SELECT * FROM {_PICKED} p LEFT JOIN (SELECT doc AS cd, count(*) AS others FROM {_PICKED} WHERE section_type <> 'appendix_form' GROUP BY doc) c ON c.cd = p.doc WHERE section_type <> 'appendix_form' OR coalesce(others, 0) < 4)"
+_CORE = f"(WITH picked AS MATERIALIZED {_PICKED}, others AS MATERIALIZED (SELECT doc AS cd, count(*) AS n_others FROM picked WHERE section_type <> 'appendix_form' GROUP BY doc) SELECT picked.* FROM picked LEFT JOIN others ON cd = doc WHERE section_type <> 'appendix_form' OR coalesce(n_others, 0) < 4)"
 _BODY_PICKS = f"""(SELECT * EXCLUDE (again), row_number() OVER (PARTITION BY doc ORDER BY again, score DESC, section_path, row_idx) AS pick FROM
  (SELECT *, CAST(row_number() OVER (PARTITION BY doc, section_path ORDER BY score DESC, row_idx) > 1 AS INT) AS again FROM {_CANDS} WHERE section_type = 'body'))"""
 _BY_DOC = f"""(WITH core AS MATERIALIZED {_CORE}, body AS MATERIALIZED {_BODY_PICKS}, had AS MATERIALIZED (SELECT doc AS hd, count(*) AS had FROM core GROUP BY doc)
